@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import byte_bpe, decontaminate, quality_rules
+from lexiloom.llm import byte_bpe, decontaminate, jaccard_join, quality_rules
 from lexiloom.storage import table
 
 
@@ -125,10 +125,18 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN it ON it.rid = d.rid
 """
 
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = jaccard_join.near_duplicates(docs)
+    return found.select("doc_id", "class_id", "copy_id", "n_copies", "n_links", "n_class_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_decontaminate": op5_decontaminate,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
