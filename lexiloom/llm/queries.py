@@ -11,7 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import byte_bpe, decontaminate, jaccard_join, quality_rules
+from lexiloom.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    html_text,
+    jaccard_join,
+    language_id,
+    piece_counts,
+    pu_quality,
+    quality_rules,
+    toxicity,
+)
+from lexiloom.llm.learning import fold
 from lexiloom.storage import table
 
 
@@ -66,6 +78,10 @@ FROM b LEFT JOIN removed USING (rid)
 """
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str = "") -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +96,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str = "") -> DataFrame:
     )
 
 
+def op4_piece_counts(spark: SparkSession, sf_dir: str, path: str = "") -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return piece_counts.count_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.match_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -126,6 +149,64 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN it ON it.rid = d.rid
 """
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = chat_format.rotate(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    spans = F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
+    return shown.select(
+        "conv_id", "speaker", F.col("segment").cast("long").alias("segment"), F.col("part").cast("long").alias("part"),
+        F.col("n_turns").cast("long").alias("n_turns"), "text", F.array_join(spans, ",").alias("mask"),
+    )
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(turn, 0)::BIGINT AS turn, replace(coalesce(role, ''), '<|', '< |') AS role,
+         replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations
+), n AS (
+  SELECT *, floor(turn / 64)::BIGINT AS segment,
+         row_number() OVER (PARTITION BY conv_id, floor(turn / 64) ORDER BY turn, role, text) AS rn
+  FROM t
+), p AS (
+  SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role NOT IN ('', 'system')
+), r AS (
+  SELECT n.conv_id, speaker, segment, (rn - 1) // 512 AS part, rn, role = speaker AS own, text AS body,
+         '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
+                                WHEN role <> '' THEN 'user name=' || role ELSE 'user' END || chr(10) AS head
+  FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id
+), o AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 11) OVER (
+              PARTITION BY conv_id, speaker, segment, part ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
+  FROM r
+)
+SELECT conv_id, speaker, segment, part::BIGINT AS part, count(*)::BIGINT AS n_turns,
+       string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY rn) AS text,
+       coalesce(string_agg(CASE WHEN own THEN (begins + length(head)) || '-' || (begins + length(head) + length(body) + 10) END, ',' ORDER BY rn), '') AS mask
+FROM o GROUP BY conv_id, speaker, segment, part
+"""
+
+
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pu_quality.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(fold("doc_id", pu_quality.FOLDS) == 0, F.lit(False))
+    return pu_quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    held_out = F.coalesce(fold("doc_id", language_id.FOLDS) == language_id.HELD_OUT, F.lit(False))
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = jaccard_join.near_duplicates(docs)
@@ -134,12 +215,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_text": op2_html_text,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_piece_counts": op4_piece_counts,
     "op5_decontaminate": op5_decontaminate,
+    "op6_chat_format": op6_chat_format,
+    "op7_pu_quality": op7_pu_quality,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op5_decontaminate": OP5_SQL,
+    "op6_chat_format": OP6_SQL,
 }
