@@ -49,7 +49,7 @@ MAX_HASHES = 128
 BLOCK_CLASSES = 256
 BLOCK_SHINGLES = 1_000_000
 #: Up to so many classes may be broadcast as keys; beyond, they are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
