@@ -9,7 +9,7 @@ repeated three-word windows.
 case), hashed, and the distinct documents that hold them are counted per host.
 A document is counted once per different text, and texts that are near copies
 of each other are told apart from independent documents by a sketch: the least
-MD5 among a content-chosen eighth of the text's three-word windows.  A line is
+MD5 of the text's long words.  A line is
 above the limits when more than ``max_docs`` independent documents of the host
 hold it and these are at least ``min_spread`` of the host's texts with that
 line; so a page that was copied a thousand times does not make its own lines
@@ -46,6 +46,10 @@ MAX_REPEAT_PERCENT = 50
 MAX_DOCS = 20
 MIN_SPREAD = 0.5
 MIN_LEFT = 0.3
+#: Words of at least so many characters make the sketch.
+SKETCH_CHARS = 10
+#: Up to so many repeated windows are looked up one by one.
+FEW_REPEATS = 24
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,43 +74,50 @@ def _lines(text: Column) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words inside three-word windows that are found twice or more.
 
-    Windows are sorted by hash so that equal ones meet; the places of the
-    repeated ones, in order, cover three words each less the overlap.
+    The windows' hashes are sorted so that equal ones meet.  If few hashes
+    repeat, the windows are looked up among them; else windows are sorted with
+    their places, so that a long text of repeats stays n log n.  The places of
+    repeated windows, in order, cover three words each less the overlap.
     """
+    none = F.lit(0).cast("long")
 
     def cover(places: Column) -> Column:
         nexts = F.slice(places, 2, F.size(places))
-        return F.aggregate(
-            F.zip_with(places, nexts, lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))),
-            F.lit(0).cast("long"),
-            lambda total, x: total + x,
-        )
+        gaps = F.zip_with(places, nexts, lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+        return F.aggregate(gaps, none, lambda total, x: total + x)
 
-    def repeated(marked: Column) -> Column:
-        def found(x: Column, i: Column) -> Column:
-            return (F.get(marked, i - 1)["h"].eqNullSafe(x["h"]) & (i > 0)) | F.get(marked, i + 1)["h"].eqNullSafe(x["h"])
+    def by_sorting(hashes: Column) -> Column:
+        def repeated(marked: Column) -> Column:
+            def found(x: Column, i: Column) -> Column:
+                before, after = F.get(marked, i - 1)["h"], F.get(marked, i + 1)["h"]
+                return before.eqNullSafe(x["h"]) | after.eqNullSafe(x["h"])
 
-        return F.sort_array(F.transform(F.filter(marked, found), lambda x: x["i"]))
+            return F.sort_array(F.transform(F.filter(marked, found), lambda x: x["i"]))
+
+        return let(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), repeated)
+
+    def by_lookup(hashes: Column, twice: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(twice, F.get(hashes, i)))
 
     def windows(hashes: Column) -> Column:
-        marked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(
-            F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")
-        ).otherwise(let(let(marked, repeated), cover))
-
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
-    )
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(hashes, windows))
+        def counted(twice: Column) -> Column:
+            places = F.when(F.size(twice) <= FEW_REPEATS, by_lookup(hashes, twice)).otherwise(by_sorting(hashes))
+            return F.when(F.size(twice) == 0, none).otherwise(let(places, cover))
+
+        repeats = let(F.sort_array(hashes), lambda x: F.array_distinct(F.filter(x, lambda h, i: (i > 0) & (h == F.get(x, i - 1)))))
+        return let(repeats, counted)
+
+    def hashed(one: Column) -> Column:
+        mix = lambda i: F.get(one, i).bitwiseXOR(F.shiftleft(F.get(one, i + 1), 1)).bitwiseXOR(F.shiftleft(F.get(one, i + 2), 2))
+        return let(F.transform(F.sequence(F.lit(0), F.size(one) - 3), mix), windows)
+
+    return F.when(F.size(words) < 4, none).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), hashed))
 
 
 def _sketch(words: Column, text: Column) -> Column:
-    """Least MD5 of the windows whose length in characters is divisible by 8."""
-    size = lambda i: F.length(F.get(words, i)) + F.length(F.get(words, i + 1)) + F.length(F.get(words, i + 2))
-    chosen = F.filter(F.sequence(F.lit(0), F.size(words) - 3), lambda i: size(i) % 8 == 0)
-    windows = F.transform(chosen, lambda i: F.md5(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
-    return F.coalesce(F.when(F.size(words) >= 3, F.array_min(windows)), F.md5(text))
+    """Least MD5 of the long words, which are rare ones; of the text where there is none."""
+    long_words = F.filter(words, lambda w: F.length(w) >= SKETCH_CHARS)
+    return F.coalesce(F.array_min(F.transform(long_words, lambda w: F.md5(w))), F.md5(text))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:

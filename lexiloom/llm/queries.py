@@ -49,7 +49,7 @@ WITH d AS (
 ), repw AS (
   SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) AS t(k) GROUP BY rid
 ), sk AS (
-  SELECT rid, min(md5(w3)) AS sketch FROM win WHERE (length(w3) - 2) % 8 = 0 GROUP BY rid
+  SELECT rid, min(md5(w)) AS sketch FROM (SELECT rid, unnest(ws) AS w FROM s) WHERE length(w) >= 10 GROUP BY rid
 ), b AS (
   SELECT s.rid, doc_id, source, text, coalesce(sk.sketch, md5(text)) AS sketch, ls,
          len(ws)::BIGINT AS n_words,
