@@ -27,4 +27,4 @@ def window_schema() -> T.StructType:
     return T._parse_datatype_string(WINDOW)
 
 
-FIELDS = [f.name for f in window_schema().fields]
+FIELDS = ["doc_id", "win", "text", "text_post", "flush_after", "vars_set", "vars_rem", "cohorts"]
