@@ -2,18 +2,20 @@
 
 Encoding
   1. Every text is split into pre-tokens.  About a million of them form a
-     *piece*; within it equal pre-tokens meet before the shuffle, so one row
-     carries a word and all its places (packed differences).
-  2. The rows are shuffled by word and sorted, and each distinct word is
-     encoded once; its ids join all rows of the word in the same pass.
+     *piece*; within it equal pre-tokens meet before the shuffle, so a word is
+     sent once with all its places.  Words are dealt by hash into buckets; a
+     row carries a piece's words of one bucket, packed.
+  2. The rows are shuffled by bucket, so all of a word's rows meet, and each
+     distinct word is encoded once; its ids join all its places in that pass.
   3. The rows are shuffled back by piece and the ids laid out by place.
 
 Decoding joins each id with the table of token bytes.
 
-Scale: each shuffle moves a row per distinct word of a piece.  The most common
-word has one row per piece, so no word is hot; a piece has a bounded number of
-tokens, so no group is large.  Only the vocabulary, whose size is fixed, is
-broadcast.
+Scale: each shuffle moves a word once per piece, and packed rows keep that
+below the size of the text.  The most common word has one entry per piece, so
+no bucket is hot; a piece has a bounded number of tokens, so no group is large;
+buckets grow in number with the partitions.  Only the vocabulary, whose size is
+fixed, is broadcast.
 
 The splitting must give the same pieces when a lost task is run again, so pass
 a stored table or a plan whose row order is stable.
@@ -33,6 +35,8 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -104,36 +108,57 @@ def unpack(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat(parts, starts) if len(ends) else np.zeros(0, np.int64)
 
 
-def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)])
+def _squeeze(data: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data if isinstance(data, bytes) else data.tobytes())
 
 
-_ROWS = "piece string, word string, places binary, ids binary, others binary"
-_ARROW = pa.schema([("piece", pa.string()), ("word", pa.string()), ("places", pa.binary()), ("ids", pa.binary()), ("others", pa.binary())])
+def _spread(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _piece_rows(name: str, words: list[str], counts: list[int], others: pa.RecordBatch) -> pa.RecordBatch:
-    """A row per distinct word, and first one with the counts by document and the other columns."""
+def _numbers(data: bytes) -> np.ndarray:
+    return unpack(np.frombuffer(_spread(data), np.uint8))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return _squeeze(pack(values)[0])
+
+
+#: A row of a piece: the words of one bucket (their text, lengths, numbers of places, places), or, in a negative bucket, its documents.
+_ROWS = "piece string, bucket int, words binary, lengths binary, counts binary, places binary"
+_ARROW = pa.schema([("piece", pa.string()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("words", "lengths", "counts", "places")]])
+
+
+def _piece_rows(name: str, words: list[str], counts: list[int], others: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """A row per bucket, and one with the documents' token counts and other columns."""
     index: dict[str, int] = {}
     number = index.setdefault
     ids = np.fromiter((number(w, len(index)) for w in words), np.int64, len(words))
+    bucket = np.fromiter((xxhash.xxh32_intdigest(w.encode()) % buckets for w in index), np.int64, len(index))
+    by_bucket = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(index), np.int64)
+    rank[by_bucket] = np.arange(len(index))
+    ids = rank[ids]
     order = np.argsort(ids, kind="stable")
-    grouped = ids[order]
     gaps = np.diff(order, prepend=0)
-    heads = np.flatnonzero(np.diff(grouped, prepend=-1))
+    heads = np.flatnonzero(np.diff(ids[order], prepend=-1))
     gaps[heads] = order[heads]
-    data, starts = pack(gaps)
-    head, _ = pack(np.array(counts, np.int64))
+    times = np.diff(np.append(heads, len(order)))
+    ends = np.append(heads, len(order))
+    distinct = list(index)
+    distinct = [distinct[k] for k in by_bucket]
+    rows: list[tuple] = []
+    sorted_buckets = bucket[by_bucket]
+    cuts = np.append(np.flatnonzero(np.diff(sorted_buckets, prepend=-1)), len(index))
+    for low, high in zip(cuts, cuts[1:]):
+        own = distinct[low:high]
+        rows.append((int(sorted_buckets[low]), _squeeze("".join(own).encode()), _packed(np.fromiter(map(len, own), np.int64, len(own))),
+                     _packed(times[low:high]), _packed(gaps[ends[low] : ends[high]])))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, others.schema) as out:
         out.write_batch(others)
-    places = pa.concat_arrays([pa.array([head.tobytes()], pa.binary()), _binary(data, starts[np.append(heads, len(order))])])
-    n = len(index) + 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array([name] * n), pa.array(["", *index]), places, pa.nulls(n, pa.binary()),
-         pa.concat_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(n - 1, pa.binary())])],
-        schema=_ARROW,
-    )
+    rows.append((-1 - xxhash.xxh32_intdigest(name) % buckets, _squeeze(sink.getvalue().to_pybytes()), b"", _packed(np.array(counts, np.int64)), b""))
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *[pa.array(x, f.type) for x, f in zip(zip(*rows), list(_ARROW)[1:])]], schema=_ARROW)
 
 
 # --- vocabulary ----------------------------------------------------------------------------
@@ -173,6 +198,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, to: str = "ids", piece_t
     """``docs`` with ``text`` replaced by its token ids, as array<int> in column ``to``."""
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(ranks)
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, task, k = splitter(pattern), TaskContext.get().partitionId(), 0
@@ -185,37 +211,48 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, to: str = "ids", piece_t
                 words += found
                 counts.append(len(found))
                 if len(words) >= piece_tokens or i == batch.num_rows - 1:
-                    yield _piece_rows(f"{task}-{k}", words, counts, others.slice(begin, i + 1 - begin))
+                    yield _piece_rows(f"{task}-{k}", words, counts, others.slice(begin, i + 1 - begin), buckets)
                     words, counts, begin, k = [], [], i + 1, k + 1
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _once("encoder", vocabulary.value, lambda: _encoder(vocabulary.value, pattern)).encode_ordinary
-        last, ids = "", b""
+        now, known = -2, {}
         for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, np.array(ids_of(word), np.uint32).tobytes()
-                out.append(ids if word else None)
-            yield batch.drop_columns(["word", "ids"]).append_column("ids", pa.array(out, pa.binary()))
+            rows = []
+            for row in batch.to_pylist():
+                if row["bucket"] < 0:
+                    rows.append(row)
+                    continue
+                if row["bucket"] != now:
+                    now, known = row["bucket"], {}
+                text, at, coded = _spread(row["words"]).decode(), 0, []
+                for size in _numbers(row["lengths"]).tolist():
+                    word = text[at : at + size]
+                    at += size
+                    if word not in known:
+                        known[word] = ids_of(word)
+                    coded.append(known[word])
+                row["words"] = _packed(np.array([i for ids in coded for i in ids], np.int64))
+                row["lengths"] = _packed(np.fromiter(map(len, coded), np.int64, len(coded)))
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     def lay_out(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        heads = [i for i, x in enumerate(rows.column("others").is_valid().to_pylist()) if x]
-        head = heads[0]
-        others = pa.ipc.open_stream(rows.column("others")[head].as_py()).read_all()
-        counts = unpack(np.frombuffer(rows.column("places")[head].as_py(), np.uint8))
-        words = pa.concat_tables([rows.slice(0, head), rows.slice(head + 1)]).combine_chunks()
-        packed, coded = words.column("places").to_pylist(), words.column("ids").to_pylist()
-        gaps = unpack(np.frombuffer(b"".join(packed), np.uint8))
+        flat, size, each, gaps = [], [], [], []
+        for row in rows.to_pylist():
+            if row["bucket"] < 0:
+                others = pa.ipc.open_stream(_spread(row["words"])).read_all()
+                counts = _numbers(row["counts"])
+            else:
+                flat.append(_numbers(row["words"]))
+                size.append(_numbers(row["lengths"]))
+                each.append(_numbers(row["counts"]))
+                gaps.append(_numbers(row["places"]))
+        flat, size, each, gaps = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (flat, size, each, gaps))
         total = int(counts.sum())
-        flat = np.frombuffer(b"".join(coded), np.uint32).astype(np.int32)
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         at = np.concatenate(([0], np.cumsum(size)))[:-1]
-        each = _values_in(packed, gaps)
-        place = _running(gaps, each)
         word_at = np.empty(total, np.int64)
-        word_at[place] = np.repeat(np.arange(len(coded)), each)
+        word_at[_running(gaps, each)] = np.repeat(np.arange(len(size)), each)
         sizes = size[word_at]
         ends = np.cumsum(sizes)
         pick = np.arange(int(ends[-1]) if total else 0) - np.repeat(ends - sizes, sizes) + np.repeat(at[word_at], sizes)
@@ -225,23 +262,14 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, to: str = "ids", piece_t
 
     kept = [f for f in docs.schema.fields if f.name not in ("text", to)]
     schema = T.StructType([*kept, T.StructField(to, T.ArrayType(T.IntegerType()))])
-    coded_rows = _ROWS.replace("word string, ", "").replace(" ids binary, others binary", " others binary, ids binary")
     return (
         docs.select(*[f.name for f in kept], "text").mapInArrow(deal, _ROWS)
-        .repartition("word").sortWithinPartitions("word")
-        .mapInArrow(encode_words, coded_rows)
+        .repartition("bucket").sortWithinPartitions("bucket")
+        .mapInArrow(encode_words, _ROWS)
         .groupBy("piece").applyInArrow(lay_out, schema)
     )
 
 
-def _values_in(packed: list[bytes], gaps: np.ndarray) -> np.ndarray:
-    """How many numbers each packed value holds."""
-    data = np.frombuffer(b"".join(packed), np.uint8)
-    done = np.concatenate(([0], np.cumsum(data < 128)))
-    ends = np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)))
-    return np.diff(done[np.concatenate(([0], ends))])
-
-
 def _running(gaps: np.ndarray, each: np.ndarray) -> np.ndarray:
     """Running sums of ``gaps``, begun anew after each group of ``each`` numbers."""
     if not len(gaps):
