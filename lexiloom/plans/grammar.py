@@ -548,7 +548,20 @@ class Parser:
             changed[name] = self.set_expression()
         if self.maybe("LINK"):
             changed["link"] = self.test_body()
-        return Test(**changed)
+        found = Test(**changed)
+        return self.numeric_branches(found) if found.has("numeric_branch") else found
+
+    def numeric_branches(self, t: Test) -> Test:
+        """With the numeric tags, or else without them."""
+        with_tags = Test(**{**t.__dict__, "flags": t.flags - {"numeric_branch"}})
+        without = {n: None if getattr(t, n) is None else self.without_numeric(getattr(t, n)) for n in ("target", "barrier", "cbarrier")}
+        return Test(ors=(with_tags, Test(**{**with_tags.__dict__, **without})))
+
+    def without_numeric(self, s: TagSet) -> TagSet:
+        if s.op == "name" and s.name in self.grammar.sets:
+            return self.without_numeric(self.grammar.sets[s.name])
+        left = tuple(m for m in (tuple(t for t in m if t.kind != "numeric") for m in s.members) if m)
+        return TagSet(s.op, left, tuple(map(self.without_numeric, s.parts)), s.name)
 
     # rules
     def rule(self) -> Rule:
@@ -599,6 +612,10 @@ class Parser:
         else:
             self.expect(";")
         rule.flags = frozenset(flags)
+        looks = {mark for flag, mark in LOOKS.items() if flag in flags}
+        if looks:
+            rule.tests = [_looking(t, looks) for t in rule.tests]
+            rule.dep_tests = [_looking(t, looks) for t in rule.dep_tests]
         return rule
 
     def rule_flags(self, rule: Rule, flags: set[str]) -> None:
@@ -627,6 +644,15 @@ class Parser:
         return found
 
 
+#: Rule flags that let all of a rule's tests see more readings.
+LOOKS = {"LOOKDELETED": "look_deleted", "LOOKDELAYED": "look_delayed", "LOOKIGNORED": "look_ignored"}
+
+
+def _looking(t: Test, looks: set[str]) -> Test:
+    ors, link = tuple(_looking(x, looks) for x in t.ors), None if t.link is None else _looking(t.link, looks)
+    return Test(**{**t.__dict__, "flags": t.flags | looks, "ors": ors, "link": link})
+
+
 def _with_link(test: Test, link: Test | None) -> Test:
     return test if link is None else Test(**{**test.__dict__, "link": link if test.link is None else _with_link(test.link, link)})
 

@@ -212,3 +212,10 @@ def test_span():
 def test_options():
     assert len(tags(run("SELECT (N);\nSECTION\nSELECT (DET);", DUCK, options=Options(sections=1)))[1]) == 1
     assert tags(run("REMOVE (DET);", DUCK, options=Options(unsafe=True)))[0] == []
+
+
+def test_look_flags_and_numeric_branches():
+    assert tags(run("REMOVE (V); ADD LOOKDELETED (x) (DET) IF (1 (INF)); ADD (y) (DET) IF (1 (INF));", DUCK))[0] == ['"the" DET x']
+    stream = '"<a>"\n\t"a" N\n"<b>"\n\t"b" V <W=5>\n"<c>"\n\t"c" V\n'
+    assert tags(run("ADD (x) (N) IF (1f (V <W>3>)) (2f (V <W>3>)); ADD (y) (N) IF (2 (V <W>3>));", stream))[0] == ['"a" N x']
+    assert tags(run("ADD (x) (N) IF (*1 (<W>3>));", stream))[0] == ['"a" N x']
