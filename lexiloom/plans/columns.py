@@ -226,7 +226,7 @@ def edit(rule: Rule, g: Grammar, cohort: Column, allowed: Column, matched: Calla
     new = _literals(rule.maplist or rule.target, g)
     maps, plain = [x for x in new if x.startswith(g.prefix)], [x for x in new if not x.startswith(g.prefix) and x != "*"]
     if rule.kind in ("ADD", "MAP"):
-        if rule.except_list is not None:
+        if rule.place is not None:
             raise NotSetBased("a place within the reading")
         free = lambda r: ~F.exists(r, lambda x: x.startswith(g.prefix)) if maps or rule.kind == "MAP" else F.lit(True)
         put = lambda r: F.concat(r, F.array_except(_array(plain), r)) if plain else r
@@ -295,7 +295,7 @@ def sees_itself(rule: Rule, g: Grammar) -> bool:
 
 def run_rule(rule: Rule, g: Grammar, cohorts: Column) -> Column:
     """The cohorts after one rule."""
-    if rule.kind not in SETTABLE or rule.sub or rule.flags - {"SAFE", "UNSAFE", "ITERATE", "NOITERATE"} or rule.nested or rule.dep_tests:
+    if rule.kind not in SETTABLE or rule.sub or rule.flags - {"SAFE", "UNSAFE", "ITERATE", "NOITERATE"} or rule.nested or rule.dep_tests or rule.place:
         raise NotSetBased(rule.kind)
 
     def changed(c: Column, i: Column, size: Column, view: View) -> Column:

@@ -169,6 +169,7 @@ class Rule:
     sub: int | str = 0
     command: str = ""
     mode: str = ""
+    place: TagSet | None = None  # the tags beside which ADD and its kin put theirs
 
     @property
     def iterates(self) -> bool:
@@ -239,6 +240,13 @@ _TOKEN = re.compile(
 )
 
 
+LISTING = {"LIST", "OLIST", "DELIMITERS", "SOFT-DELIMITERS", "STRICT-TAGS", "LIST-TAGS", "PREFERRED-TARGETS", "REOPEN-MAPPINGS"}
+KEYWORDS = RULES | FLAGS | SECTION_NAMES | CLOSING | LISTING | set(
+    "SETS SET OSET TEMPLATE TEXT-DELIMITERS PARENTHESES MAPPING-PREFIX SUBREADINGS STATIC-SETS UNDEF-SETS OPTIONS CMDARGS INCLUDE "
+    "STATIC ANCHOR END TARGET IF EXCEPT OR ONCE ALWAYS".split()
+)
+
+
 @dataclass
 class Token:
     text: str
@@ -247,13 +255,21 @@ class Token:
 
 
 def tokenize(text: str) -> list[Token]:
-    out, at, line = [], 0, 1
+    """Tokens; keywords may be written in mixed case outside brackets and tag lists."""
+    out, at, line, depth, listing = [], 0, 1, 0, False
     while at < len(text):
         m = _TOKEN.match(text, at)
         if m is None:
             raise GrammarError(f"line {line}: unexpected {text[at]!r}")
         if m.lastgroup not in ("space", "comment"):
-            out.append(Token(m[0], "word" if m.lastgroup == "back" else m.lastgroup or "", line))
+            found = m[0]
+            depth += (found in "([") - (found in ")]") if m.lastgroup == "mark" else 0
+            if m.lastgroup == "word" and depth == 0 and not listing and found[0].isupper():
+                head, colon, name = found.partition(":")
+                found = head.upper() + colon + name if head.upper() in KEYWORDS else found
+                listing = found in LISTING
+            listing = listing and found != ";"
+            out.append(Token(found, "word" if m.lastgroup == "back" else m.lastgroup or "", line))
         line += m[0].count("\n")
         at = m.end()
     return out
@@ -341,7 +357,8 @@ class Parser:
             self.take()
             name = self.take().text
             self.expect("=")
-            g.templates[name] = self.test_or_group()
+            found = self.test_or_group()
+            g.templates[name] = _with_link(found, self.test_body() if self.maybe("LINK") else None)
             self.expect(";")
         elif word == "PARENTHESES":
             self.take()
@@ -585,10 +602,10 @@ class Parser:
             rule.sublist, rule.maplist = rule.maplist, self.set_expression()
         if keyword in ("COPY", "COPYCOHORT", "REPLACE") and self.maybe("EXCEPT"):
             rule.except_list = self.set_expression()
-        if keyword in ("ADD", "MAP", "SUBSTITUTE", "ADDCOHORT", "COPY", "APPEND") and self.peek().text in ("BEFORE", "AFTER"):
+        if keyword in ("ADD", "MAP", "SUBSTITUTE", "ADDCOHORT", "COPY", "COPYCOHORT", "APPEND") and self.peek().text in ("BEFORE", "AFTER"):
             rule.side = self.take().text
-            if keyword != "ADDCOHORT":
-                rule.except_list = self.set_expression() if keyword != "COPY" else rule.except_list
+            if "COHORT" not in keyword:
+                rule.place = self.set_expression()
         self.rule_flags(rule, flags)
         self.maybe("TARGET")
         rule.target = self.set_expression()
@@ -600,6 +617,8 @@ class Parser:
                 flags.add("REVERSE")
             if closing in ("BEFORE", "AFTER"):
                 rule.side = closing
+            elif self.peek().text in ("BEFORE", "AFTER"):
+                rule.side = self.take().text
             if self.peek().text in ("WITHCHILD", "NOCHILD"):
                 rule.dep_child = self.set_expression() if self.take().text == "WITHCHILD" else None
             rule.dep_tests = self.tests()
@@ -671,7 +690,7 @@ def tuple_algebra(op: str, left: tuple[tuple[Tag, ...], ...], right: tuple[tuple
 
 
 _POSITION = re.compile(
-    r"(?P<rel>r:[^/\s]+$)|(?P<num>@?-?\d+)|(?P<stars>\*+)|(?P<sub>/(?:-?\d+|\*))|(?P<jump>j(?:M|A|T|C[1-9]))"
+    r"(?P<rel>r:.+$)|(?P<num>@?-?\d+)|(?P<stars>\*+)|(?P<sub>/(?:-?\d+|\*))|(?P<jump>j(?:M|A|T|C[1-9]))"
     r"|(?P<double>pp|cc|ll|rr)|(?P<one>[CcpslrSNW<>AwDdITtoOLRXxBf?])"
 )
 _NAMES = {

@@ -908,11 +908,13 @@ class Applicator:
                 out.append(extra)
         return out
 
+    def near(self, rule: Rule) -> set[str]:
+        return {t.text for s in flat_lists(rule.place, self.g) for t in s.tags()} if rule.place else set()
+
     def add_map(self, rule: Rule, c: Cohort, whole: Reading, r: Reading, ctx: Context) -> bool:
         before = (list(r.tags), r.mapping, len(c.readings))
         tags = self.tags_of(rule.maplist or rule.target, r, c, ctx)
-        near = {t for s in flat_lists(rule.except_list, self.g) for t in (x.text for x in s.tags())} if rule.except_list else set()
-        made = self.add_tags(r, tags, rule.side, near)
+        made = self.add_tags(r, tags, rule.side, self.near(rule))
         r.noprint = False
         for x in made:
             x.mapped = x.mapped or rule.kind == "MAP" or bool(x.mapping and rule.kind == "MAP")
@@ -974,7 +976,7 @@ class Applicator:
         sub.tags = [t for t in sub.tags if t not in drop]
         if sub.mapping in drop:
             sub.mapping = ""
-        made = self.add_tags(sub, self.tags_of(rule.maplist or rule.target, r, c, ctx), "", set())
+        made = self.add_tags(sub, self.tags_of(rule.maplist or rule.target, r, c, ctx), rule.side, self.near(rule))
         sub.hit_by.append(rule.number)
         for x in [extra, *made[1:]]:
             x.number = whole.number + 1
@@ -1282,7 +1284,7 @@ class Applicator:
                 y.tags = [t for t in y.tags if t not in drop and t != "<<<"]
             self.add_tags(x, add, "", set())
             x.hit_by.append(rule.number)
-        tree = self.subtree(near, rule.dep_child)
+        tree = self.subtree(near, rule.dep_child or rule.child)
         after = rule.side != "BEFORE"
         edge = tree[-1] if after else tree[0]
         new.dep_parent = edge.gid

@@ -80,11 +80,11 @@ def rule(r: Rule) -> str:
         parts.append(tag_set(r.sublist))
     if r.maplist is not None:
         parts.append(tag_set(r.maplist))
-    inner_side = r.side and not (r.dep_tests or r.kind in ("MOVE", "COPYCOHORT"))
-    if inner_side:
-        parts.append(r.side + (f" {tag_set(r.except_list)}" if r.except_list and r.kind not in ("COPY", "ADDCOHORT") else ""))
-    elif r.except_list is not None:
+    if r.except_list is not None:
         parts += ["EXCEPT", tag_set(r.except_list)]
+    inner_side = r.side and r.kind != "MOVE"
+    if inner_side:
+        parts.append(r.side + (f" {tag_set(r.place)}" if r.place else ""))
     parts.append("TARGET " + tag_set(r.target))
     parts += [test(t) for t in r.tests]
     if r.dep_tests:
