@@ -3,11 +3,13 @@
 Encoding
   1. Every text is split into pre-tokens.  About a million of them form a
      *piece*; within it equal pre-tokens meet before the shuffle, so a word is
-     sent once with all its places.  Words are dealt by hash into buckets; a
-     row carries a piece's words of one bucket, packed.
+     sent once.  Words are dealt by hash into buckets; a row carries a piece's
+     words of one bucket, packed.
   2. The rows are shuffled by bucket, so all of a word's rows meet, and each
-     distinct word is encoded once; its ids join all its places in that pass.
-  3. The rows are shuffled back by piece and the ids laid out by place.
+     distinct word is encoded once.
+  3. The ids are shuffled back by piece, where they join the places of their
+     words.  Places are found by splitting once more and go to their piece
+     directly: they outweigh words and ids, and splitting is cheap.
 
 Decoding joins each id with the table of token bytes.
 
@@ -124,13 +126,14 @@ def _packed(values: np.ndarray) -> bytes:
     return _squeeze(pack(values)[0])
 
 
-#: A row of a piece: the words of one bucket (their text, lengths, numbers of places, places), or, in a negative bucket, its documents.
+#: A row of a piece: in a bucket its words there (text and lengths, later ids and their numbers); in bucket -1 its documents
+#: (token counts, other columns) and all places, by word.
 _ROWS = "piece string, bucket int, words binary, lengths binary, counts binary, places binary"
 _ARROW = pa.schema([("piece", pa.string()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("words", "lengths", "counts", "places")]])
 
 
-def _piece_rows(name: str, words: list[str], counts: list[int], others: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
-    """A row per bucket, and one with the documents' token counts and other columns."""
+def _ordered(words: list[str], buckets: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Each pre-token's number among the distinct ones, those ordered by bucket, and their buckets."""
     index: dict[str, int] = {}
     number = index.setdefault
     ids = np.fromiter((number(w, len(index)) for w in words), np.int64, len(words))
@@ -138,27 +141,36 @@ def _piece_rows(name: str, words: list[str], counts: list[int], others: pa.Recor
     by_bucket = np.argsort(bucket, kind="stable")
     rank = np.empty(len(index), np.int64)
     rank[by_bucket] = np.arange(len(index))
-    ids = rank[ids]
+    distinct = list(index)
+    return rank[ids], [distinct[k] for k in by_bucket], bucket[by_bucket]
+
+
+def _rows(name: str, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *[pa.array(x, f.type) for x, f in zip(columns, list(_ARROW)[1:])]], schema=_ARROW)
+
+
+def _word_rows(name: str, words: list[str], counts: list[int], others: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    _, distinct, bucket = _ordered(words, buckets)
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(distinct))
+    rows = []
+    for low, high in zip(cuts, cuts[1:]):
+        own = distinct[low:high]
+        rows.append((int(bucket[low]), _squeeze("".join(own).encode()), _packed(np.fromiter(map(len, own), np.int64, len(own))), b"", b""))
+    return _rows(name, rows)
+
+
+def _place_rows(name: str, words: list[str], counts: list[int], others: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    ids, _, _ = _ordered(words, buckets)
     order = np.argsort(ids, kind="stable")
     gaps = np.diff(order, prepend=0)
     heads = np.flatnonzero(np.diff(ids[order], prepend=-1))
     gaps[heads] = order[heads]
     times = np.diff(np.append(heads, len(order)))
-    ends = np.append(heads, len(order))
-    distinct = list(index)
-    distinct = [distinct[k] for k in by_bucket]
-    rows: list[tuple] = []
-    sorted_buckets = bucket[by_bucket]
-    cuts = np.append(np.flatnonzero(np.diff(sorted_buckets, prepend=-1)), len(index))
-    for low, high in zip(cuts, cuts[1:]):
-        own = distinct[low:high]
-        rows.append((int(sorted_buckets[low]), _squeeze("".join(own).encode()), _packed(np.fromiter(map(len, own), np.int64, len(own))),
-                     _packed(times[low:high]), _packed(gaps[ends[low] : ends[high]])))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, others.schema) as out:
         out.write_batch(others)
-    rows.append((-1 - xxhash.xxh32_intdigest(name) % buckets, _squeeze(sink.getvalue().to_pybytes()), b"", _packed(np.array(counts, np.int64)), b""))
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *[pa.array(x, f.type) for x, f in zip(zip(*rows), list(_ARROW)[1:])]], schema=_ARROW)
+    return _rows(name, [(-1, _squeeze(sink.getvalue().to_pybytes()), _packed(times), _packed(np.array(counts, np.int64)), _packed(gaps))])
 
 
 # --- vocabulary ----------------------------------------------------------------------------
@@ -200,19 +212,22 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, to: str = "ids", piece_t
     vocabulary = spark.sparkContext.broadcast(ranks)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, task, k = splitter(pattern), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = batch.column("text")
-            others = batch.drop_columns(["text"])
-            words, counts, begin = [], [], 0
-            for i in range(batch.num_rows):
-                found = find(texts[i].as_py() or "")
-                words += found
-                counts.append(len(found))
-                if len(words) >= piece_tokens or i == batch.num_rows - 1:
-                    yield _piece_rows(f"{task}-{k}", words, counts, others.slice(begin, i + 1 - begin), buckets)
-                    words, counts, begin, k = [], [], i + 1, k + 1
+    def deal(to_rows):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find, task, k = splitter(pattern), TaskContext.get().partitionId(), 0
+            for batch in batches:
+                texts = batch.column("text")
+                others = batch.drop_columns(["text"])
+                words, counts, begin = [], [], 0
+                for i in range(batch.num_rows):
+                    found = find(texts[i].as_py() or "")
+                    words += found
+                    counts.append(len(found))
+                    if len(words) >= piece_tokens or i == batch.num_rows - 1:
+                        yield to_rows(f"{task}-{k}", words, counts, others.slice(begin, i + 1 - begin), buckets)
+                        words, counts, begin, k = [], [], i + 1, k + 1
+
+        return run
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _once("encoder", vocabulary.value, lambda: _encoder(vocabulary.value, pattern)).encode_ordinary
@@ -220,9 +235,6 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, to: str = "ids", piece_t
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                if row["bucket"] < 0:
-                    rows.append(row)
-                    continue
                 if row["bucket"] != now:
                     now, known = row["bucket"], {}
                 text, at, coded = _spread(row["words"]).decode(), 0, []
@@ -238,17 +250,17 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, to: str = "ids", piece_t
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     def lay_out(rows: pa.Table) -> pa.Table:
-        flat, size, each, gaps = [], [], [], []
-        for row in rows.to_pylist():
+        flat, size = [], []
+        for row in sorted(rows.to_pylist(), key=lambda r: r["bucket"]):
             if row["bucket"] < 0:
                 others = pa.ipc.open_stream(_spread(row["words"])).read_all()
-                counts = _numbers(row["counts"])
+                each, counts, gaps = _numbers(row["lengths"]), _numbers(row["counts"]), _numbers(row["places"])
             else:
                 flat.append(_numbers(row["words"]))
                 size.append(_numbers(row["lengths"]))
-                each.append(_numbers(row["counts"]))
-                gaps.append(_numbers(row["places"]))
-        flat, size, each, gaps = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (flat, size, each, gaps))
+        flat, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (flat, size))
+        if len(size) != len(each):
+            raise ValueError("the two splittings of the input differ: its rows must come in a stable order")
         total = int(counts.sum())
         at = np.concatenate(([0], np.cumsum(size)))[:-1]
         word_at = np.empty(total, np.int64)
@@ -262,12 +274,13 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, to: str = "ids", piece_t
 
     kept = [f for f in docs.schema.fields if f.name not in ("text", to)]
     schema = T.StructType([*kept, T.StructField(to, T.ArrayType(T.IntegerType()))])
-    return (
-        docs.select(*[f.name for f in kept], "text").mapInArrow(deal, _ROWS)
-        .repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(encode_words, _ROWS)
-        .groupBy("piece").applyInArrow(lay_out, schema)
+    rows = docs.select(*[f.name for f in kept], "text")
+    coded = (
+        rows.select("text").mapInArrow(deal(_word_rows), _ROWS)
+        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, _ROWS)
     )
+    # the places come first in the union, so that their tasks are numbered as those that made the words
+    return rows.mapInArrow(deal(_place_rows), _ROWS).union(coded).groupBy("piece").applyInArrow(lay_out, schema)
 
 
 def _running(gaps: np.ndarray, each: np.ndarray) -> np.ndarray:
