@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiloom.llm.learning import apply_logistic, fit_logistic, sample
+from lexiloom.storage import materialize
 
 SAMPLE = 6_000
 VOCABULARY = 1_500
@@ -57,21 +58,24 @@ class Model:
     terms: list[str]
     weights: list[np.ndarray]  # of each category, over words, shape and earlier probabilities
 
-    def matrix(self, texts: list[list[str]]) -> np.ndarray:
-        x = np.zeros((len(texts), len(self.index) + 3), np.float32)
-        get = self.index.get
+    def counts(self, words: list[str]) -> Counter[int]:
+        """Uses of the vocabulary's words, by index."""
+        return Counter(k for k in map(self.index.get, words) if k is not None)
+
+    def matrix(self, counted: list[tuple[int, dict[int, int]]]) -> np.ndarray:
+        """A row per text, from its number of words and the uses of the vocabulary's words."""
+        x = np.zeros((len(counted), len(self.index) + 3), np.float32)
         marks = {self.index[t] for t in self.terms}
-        for i, words in enumerate(texts):
-            found = Counter(k for k in map(get, words) if k is not None)
+        for i, (n, found) in enumerate(counted):
             for k, c in found.items():
                 x[i, k] = np.log1p(c)
             uses = sum(found[k] for k in marks & found.keys())
-            x[i, -3:] = np.log1p(uses), np.log1p(sum(k in found for k in marks)), min(5.0, 100 * uses / max(1, len(words)))
+            x[i, -3:] = np.log1p(uses), np.log1p(sum(k in found for k in marks)), min(5.0, 100 * uses / max(1, n))
         return x
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """Probability of each category, in the chain's order."""
-        x = self.matrix([words_of(t) for t in texts])
+        x = self.matrix([(len(words), self.counts(words)) for words in map(words_of, texts)])
         out = np.zeros((len(texts), 0), np.float32)
         for w in self.weights:
             out = np.hstack([out, apply_logistic(w, np.hstack([x, out]))[:, None]])
@@ -94,45 +98,58 @@ def fit_chain(x: np.ndarray, y: np.ndarray, folds: int = FOLDS, ridge: float = 3
     return weights
 
 
-def _vocabulary(texts: list[list[str]], toxic: np.ndarray) -> tuple[dict[str, int], list[str]]:
-    """Words that tell most between the classes, and the terms that mark toxic documents."""
-    seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    for words, t in zip(texts, toxic):
-        seen[int(t)].update(set(words))
-    n = np.array([(~toxic).sum(), toxic.sum()])
-    lift = {}
-    for word in seen[0].keys() | seen[1].keys():
-        a, b = seen[0][word], seen[1][word]
-        if a + b >= TERM_DOCS:
-            p, q = (a + 0.5) / (n[0] + 1), (b + 0.5) / (n[1] + 1)
-            lift[word] = (abs(np.log(q / p)) * np.sqrt(a + b), q / p, b)
-    best = sorted(lift, key=lambda w: (-lift[w][0], w))[:VOCABULARY]
-    terms = [w for w in best if lift[w][1] >= TERM_LIFT and lift[w][2] >= TERM_DOCS]
-    return {w: i for i, w in enumerate(best)}, terms
+def _vocabulary(texts: DataFrame) -> tuple[dict[str, int], list[str]]:
+    """Words that tell most between the classes, and the terms that mark toxic documents; counted on the executors."""
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        for batch in batches:
+            for t, text in zip(batch["toxic"], batch["text"]):
+                found[int(t)].update(set(words_of(text)))
+        words = list(found[0].keys() | found[1].keys())
+        if words:
+            yield pd.DataFrame({"word": words, "clean": [found[0][w] for w in words], "toxic": [found[1][w] for w in words]})
+
+    sizes = texts.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
+    rows = (
+        texts.select("toxic", "text").mapInPandas(seen, "word string, clean long, toxic long")
+        .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= TERM_DOCS)
+    )
+    share = lambda name: (F.col(name) + 0.5) / F.lit(sizes[name] + 1.0)
+    lift = share("toxic") / share("clean")
+    told = rows.withColumns({"lift": lift, "weight": F.abs(F.log(lift)) * F.sqrt(F.col("clean") + F.col("toxic"))})
+    best = told.orderBy(F.desc(F.round("weight", 9)), "word").limit(VOCABULARY).collect()
+    terms = [r.word for r in best if r.lift >= TERM_LIFT and r.toxic >= TERM_DOCS]
+    return {r.word: i for i, r in enumerate(best)}, terms
 
 
 def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Model | None:
     named = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = named.join(docs.select("doc_id").distinct(), "doc_id")
     chosen = sample(known.filter("toxic = 1"), n // 2, "doc_id").unionByName(sample(known.filter("toxic = 0"), n // 2, "doc_id"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))
+    texts = materialize(
+        docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))
+        .select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")),
+        "toxicity-sample",
+    )
+    model = Model(*_vocabulary(texts), [])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = [Counter(words_of(t)) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["doc_id"].astype(str), "toxic": batch["toxic"] == 1, "words": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]})
-
-    rows = sorted(
-        texts.select("doc_id", "toxic", "text").mapInPandas(count, "id string, toxic boolean, words array<string>, counts array<int>").collect(),
-        key=lambda r: (r.id, r.words),
-    )
+            words = [words_of(t) for t in batch["text"]]
+            counts = [shared.value.counts(w) for w in words]
+            yield pd.DataFrame({
+                "id": batch["doc_id"].astype(str), "toxic": batch["toxic"] == 1, "n": list(map(len, words)),
+                "index": [sorted(c) for c in counts], "uses": [[c[k] for k in sorted(c)] for c in counts],
+            })
+
+    rows = texts.mapInPandas(count, "id string, toxic boolean, n int, index array<int>, uses array<int>").collect()
+    rows.sort(key=lambda r: (r.id, r.toxic, r.n, r["index"]))
     toxic = np.array([r.toxic for r in rows], bool)
     if not toxic.any() or toxic.all():
         return None
-    bags = [[w for w, c in zip(r.words, r.counts) for _ in range(c)] for r in rows]
-    index, terms = _vocabulary(bags, toxic)
-    model = Model(index, terms, [])
-    x = model.matrix(bags)
+    x = model.matrix([(r.n, dict(zip(r["index"], r.uses))) for r in rows])
     uses, density = np.expm1(x[:, -3]), x[:, -1]
     severe = toxic & (density >= np.median(density[toxic])) & (uses >= 1)
     y = np.stack([toxic & (uses >= 1.5), severe, toxic], axis=1).astype(np.float32)
