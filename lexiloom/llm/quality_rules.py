@@ -7,15 +7,11 @@ repeated three-word windows.
 
 *Line frequency.*  Lines are normalised (white space collapsed, trimmed, lower
 case), hashed, and the distinct documents that hold them are counted per host.
-A document is counted once per different text, and texts that are near copies
-of each other are told apart from independent documents by a sketch: the least
-MD5 of the text's long words.  A line is
-above the limits when more than ``max_docs`` independent documents of the host
-hold it and these are at least ``min_spread`` of the host's texts with that
-line; so a page that was copied a thousand times does not make its own lines
-boilerplate (the near-duplicate stage deals with it).  Lines above the limits
-are removed, and a document of which less than ``min_left`` of the words stay
-is rejected as depleted.
+Exact copies of a text count as one document; texts that differ count each,
+near copies too.  A line is above the limits when more than ``max_docs``
+different documents of the host hold it.  Lines above the limits are removed,
+and a document of which less than ``min_left`` of the words stay is rejected
+as depleted.
 
 Scale: the text is read once and reduced to a small table of counts and line
 hashes.  Counting shuffles (host, line) pairs after map-side aggregation, so a
@@ -44,10 +40,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_DOCS = 20
-MIN_SPREAD = 0.5
 MIN_LEFT = 0.3
-#: Words of at least so many characters make the sketch.
-SKETCH_CHARS = 10
 #: Up to so many repeated windows are looked up one by one.
 FEW_REPEATS = 24
 
@@ -114,17 +107,11 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, none).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), hashed))
 
 
-def _sketch(words: Column, text: Column) -> Column:
-    """Least MD5 of the long words, which are rare ones; of the text where there is none."""
-    long_words = F.filter(words, lambda w: F.length(w) >= SKETCH_CHARS)
-    return F.coalesce(F.array_min(F.transform(long_words, lambda w: F.md5(w))), F.md5(text))
-
-
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Per row: ids, the base rules' counts, the sketch and the line hashes; no text.
+    """Per row: ids, the base rules' counts and the line hashes; no text.
 
     Columns: doc_id, source, text_key, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, sketch, lines.
+    n_dup_lines, n_repeat_words, base_failed, lines.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select(
@@ -144,7 +131,6 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         _repeat_words(words).alias("n_repeat_words"),
-        _sketch(words, F.col("text")).alias("sketch"),
         F.transform(
             lines, lambda x: F.struct(line_key(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))
         ).alias("lines"),
@@ -153,14 +139,14 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def lines_above_limits(base: DataFrame, max_docs: int = MAX_DOCS, min_spread: float = MIN_SPREAD) -> DataFrame:
+def lines_above_limits(base: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(source, line) of the lines above the limits.
 
     A first count over all pairs leaves the few lines that enough rows hold;
-    only these are then counted by different text and by sketch.
+    only these are then counted by different text.
     """
     held = base.select(
-        "source", "text_key", "sketch", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")
+        "source", "text_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")
     )
     often = (
         held.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs)
@@ -168,11 +154,10 @@ def lines_above_limits(base: DataFrame, max_docs: int = MAX_DOCS, min_spread: fl
     )
     texts = (
         held.join(often, F.col("source").eqNullSafe(F.col("often_source")) & (F.col("line") == F.col("often_line")), "left_semi")
-        .groupBy("source", "line", "sketch", "text_key").agg(F.lit(1).alias("one"))
+        .groupBy("source", "line", "text_key").agg(F.lit(1).alias("one"))
     )
-    sketches = texts.groupBy("source", "line", "sketch").agg(F.count(F.lit(1)).alias("texts"))
-    counts = sketches.groupBy("source", "line").agg(F.count(F.lit(1)).alias("documents"), F.sum("texts").alias("texts"))
-    return counts.filter((F.col("documents") > max_docs) & (F.col("documents") >= F.lit(min_spread) * F.col("texts"))).select("source", "line")
+    counts = texts.groupBy("source", "line").agg(F.count(F.lit(1)).alias("documents"))
+    return counts.filter(F.col("documents") > max_docs).select("source", "line")
 
 
 def _removed(base: DataFrame, above: DataFrame) -> DataFrame:
@@ -188,15 +173,15 @@ def _removed(base: DataFrame, above: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_spread: float = MIN_SPREAD, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): counts and verdict.
 
     Returns doc_id, source, text_key, the base counts, base_failed,
     removed_words, removed_lines (hashes) and kept.
     """
     base = materialize(base_counts(docs), "line-base")
-    removed = _removed(base, lines_above_limits(base, max_docs, min_spread))
-    joined = base.drop("lines", "sketch").join(
+    removed = _removed(base, lines_above_limits(base, max_docs))
+    joined = base.drop("lines").join(
         removed,
         F.col("source").eqNullSafe(F.col("r_source")) & (F.col("text_key") == F.col("r_text_key")),
         "left",

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and extra columns, for every operator."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,20 @@ def test_rules_keep_other_columns(spark):
     assert kept.columns == docs_of(spark).columns
 
 
+def test_rules_count_documents_that_share_a_long_word(spark):
+    """Independent documents with one footer; copies of one text count once."""
+    draw = random.Random(5)
+    body = lambda: " ".join("".join(draw.choices("abcdefghijklmnop", k=7)) for _ in range(60))
+    footer = "all rights of reproduction reserved"
+    rows = [(i, f"{body()}\n{footer}", "host") for i in range(quality_rules.MAX_DOCS + 1)]
+    rows += [(100 + i, f"{body()}\n{footer}", "few") for i in range(quality_rules.MAX_DOCS)]
+    copied = f"{body()}\nno line of this page is boilerplate"
+    rows += [(200 + i, copied, "copies") for i in range(50)]
+    found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in found if r.removed_words} == set(range(quality_rules.MAX_DOCS + 1))
+    assert {r.removed_words for r in found} == {0, 5} and all(r.kept for r in found)
+
+
 def test_html(spark):
     pages = spark.createDataFrame(
         [(1, None, "k"), (2, "", "k"), (3, "<p>Hi &amp; bye<", "k"), (4, "<article><p>a<b>b</b>\n c<br>d<p>e &eacute", "k")],
