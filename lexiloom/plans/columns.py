@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.numeric import matches
 from lexiloom.plans.grammar import Grammar, Rule, Tag, TagSet, Test, parse
+from lexiloom.plans.kernel import MAX_PASSES
 
 SETTABLE = {"SELECT", "REMOVE", "IFF", "ADD", "MAP", "REPLACE", "SUBSTITUTE", "APPEND", "COPY"}
 
@@ -346,18 +347,37 @@ def apply_columns(windows: DataFrame, grammar: str | Grammar, passes: int = 1) -
     return out
 
 
-def to_fixpoint(windows: DataFrame, grammar: str | Grammar, max_runs: int = 100) -> DataFrame:
-    """Runs the grammar's sections until no window changes; settled windows drop out of later passes."""
+def _passes(g: Grammar, cohorts: Column, n: int) -> Column:
+    """struct of ``cohorts`` after up to ``n`` passes, and ``same``: whether the last pass changed nothing."""
+    rules = g.before + [r for k in range(len(g.sections)) for r in sum(g.sections[: k + 1], [])] + g.after
+
+    def one(old: Column) -> Column:
+        new = old
+        for rule in rules:
+            new = run_rule(rule, g, new)
+        return let(new, lambda c: F.struct(c.alias("cohorts"), (c == old).alias("same")))
+
+    begin = F.struct(cohorts.alias("cohorts"), F.lit(False).alias("same"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), begin, lambda at, _: F.when(at["same"], at).otherwise(one(at["cohorts"])))
+
+
+def to_fixpoint(windows: DataFrame, grammar: str | Grammar, max_runs: int = MAX_PASSES) -> DataFrame:
+    """Runs the grammar's sections until no window changes, and raises if one still does after ``max_runs`` passes.
+
+    Passes are run in the row, twice as many each time; settled windows drop out in between.
+    """
     from lexiloom.storage import materialize
 
     g = parse(grammar) if isinstance(grammar, str) else grammar
-    done, live = None, windows
-    for _ in range(max_runs):
-        old = live.withColumn("before", F.col("cohorts"))
-        stepped = materialize(apply_columns(old, g).withColumn("same", F.col("before") == F.col("cohorts")).drop("before"), "section")
+    done, live, runs = None, windows, 0
+    while runs < max_runs:
+        n = min(max(runs, 1), max_runs - runs)
+        found = live.withColumn("passed", _passes(g, F.col("cohorts"), n))
+        stepped = materialize(found.withColumns({"cohorts": F.col("passed.cohorts"), "same": F.col("passed.same")}).drop("passed"), "section")
+        runs += n
         settled = stepped.filter("same").drop("same")
         done = settled if done is None else done.unionByName(settled)
         live = stepped.filter(~F.col("same")).drop("same")
         if live.isEmpty():
-            break
-    return done if live.isEmpty() else done.unionByName(live)
+            return done
+    raise RuntimeError(f"windows still change after {max_runs} passes")

@@ -64,6 +64,16 @@ def test_columns_equal_the_kernel(spark, rule):
     assert fast == slow
 
 
+def test_fixpoint_of_a_long_run(spark):
+    """A sure noun at the end of the longest window settles all before it; what never settles raises."""
+    rows = [(k, 1, 0, [("w", [["N"], ["V"]])] * (n - 1) + [("w", [["N"]])]) for k, n in enumerate((1, 2, 130, documents.HARD_LIMIT))]
+    found = spark.createDataFrame(rows, "doc_id long, win int, part int, cohorts array<struct<wf:string,rds:array<array<string>>>>")
+    done = columns.to_fixpoint(found, "SECTION SELECT (N) IF (1C (N));").collect()
+    assert {r.doc_id: [[list(x) for x in c.rds] for c in r.cohorts] for r in done} == {k: [[["N"]]] * len(c) for k, _, _, c in rows}
+    with pytest.raises(RuntimeError):
+        columns.to_fixpoint(found, "SECTION SELECT (N) IF (1C (N));", max_runs=100)
+
+
 def test_coupling_decides_the_plan():
     plain = ["SELECT (N) IF (-1 (DET));", "ADD (x) (N);"]
     coupled = ["SELECT (N) IF (-1*W (DET));", "SETVARIABLE (a) (b) (N);", "SELECT (N) IF (0 (VAR:x));", "DELIMIT (N);", "SELECT (N) IF (r:a (N));"]
