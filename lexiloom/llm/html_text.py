@@ -64,10 +64,11 @@ MAX_LINKS = 0.33
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+>|[^>]*(?:>|\Z))"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
+_QUOTE_OR_END = re.compile("[\"'>]")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=>/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT_NAME = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
@@ -94,6 +95,25 @@ def _bad_names(attrs: str, bad: set[str]) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int, last: dict[str, int], astray: set[int]) -> int:
+    """Where the tag ends whose attributes begin at ``at``: after the first ">" outside quotes.
+
+    A tag with a quote that nothing closes ends at its first ">".  ``last`` has the page's last place of
+    each quote and of ">", and ``astray`` the quotes from which no end is found, so that no search runs twice.
+    """
+    begin, opened = at, []
+    while at <= last[">"]:
+        m = _QUOTE_OR_END.search(page, at)
+        if m[0] == ">":
+            return m.end()
+        if m.start() >= last[m[0]] or m.start() in astray:
+            break
+        opened.append(m.start())
+        at = page.index(m[0], m.end()) + 1
+    astray.update(opened)
+    return page.index(">", begin) + 1 if begin <= last[">"] else len(page)
+
+
 def _role(name: str, attrs: str, inside: str) -> str:
     """good, bad or open: what an element makes of the text in it."""
     if name in ("html", "body"):
@@ -130,6 +150,7 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked.append(piece)
 
+    last, astray = {x: page.rfind(x) for x in "\"'>"}, set[int]()
     at = 0
     while (m := _TOKEN.search(page, at)) is not None:
         if m.start() > at:
@@ -138,7 +159,8 @@ def blocks(page: str) -> list[Block]:
         name = (m["name"] or "").lower()
         if not name:
             continue
-        attrs = m["attrs"]
+        at = _tag_end(page, m.end(), last, astray)
+        attrs = page[m.end() : at]
         if m["close"]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name == "a":

@@ -88,6 +88,17 @@ def test_html(spark):
     assert found == {1: ("", 0), 2: ("", 0), 3: ("", 0), 4: ("ab c d\n\ne é", 11)}
 
 
+def test_html_long_attributes():
+    """A quoted value of any length is part of its tag, whatever is in it."""
+    for quote in "\"'":
+        value = "x" * 5000 + "> not text <script> <p>" + "y" * 5000
+        page = f"<article><p data-x={quote}{value}{quote} class=a>Before.<p>After.</article>"
+        assert html_text.main_text(page) == "Before.\n\nAfter."
+    assert html_text.main_text("<article><p title='>it's one>two") == "two"
+    assert html_text.main_text("<article><p x=\"a'b\" y='c\"d>e'>one<p title=\"open>two") == "one\n\ntwo"
+    assert html_text.main_text("<article><p>" + "<a b='" * 50_000).strip() == ""
+
+
 def test_chat_odd_rows(spark):
     rows = [
         (1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "psst"),
