@@ -403,7 +403,7 @@ def kernel(name: str, grammar: str, sql: str) -> None:
         done = apply_grammar(dialogue_windows(spark, sf_dir), grammar)
         shown = lambda c: F.array_join(F.transform(c["readings"], lambda r: F.array_join(F.concat(F.slice(r["tags"], 2, 9), F.array_compact(F.array(r["mapping"]))), " ")), "|")
         live = F.filter("cohorts", lambda c: ~c["removed"])
-        arcs = F.transform(live, lambda c: F.concat(F.substring(c["wordform"], 3, 2), F.lit(":"), shown(c), F.when(c["dep_parent"].isNotNull(), F.concat(F.lit("#"), c["dep_parent"].cast("string"))).otherwise("")))
+        arcs = F.transform(live, lambda c: F.concat(c["wordform"].substr(F.lit(3), F.length(c["wordform"]) - 4), F.lit(":"), shown(c), F.when(c["dep_parent"].isNotNull(), F.concat(F.lit("#"), c["dep_parent"].cast("string"))).otherwise("")))
         return done.select("doc_id", F.array_join(arcs, " ").alias("tokens"))
 
     QUERIES[name], SQL[name] = run, f"""WITH c AS (SELECT conv_id AS doc_id, turn, role, CASE WHEN length(text) > 200 THEN 'LONG' ELSE 'SHORT' END AS size,

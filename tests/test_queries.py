@@ -31,6 +31,18 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert rows == sorted(repr(tuple(map(value, r))) for r in want.select(*order).fetchall())
 
 
+@pytest.mark.parametrize("name", ["kernel_select", "kernel_map", "kernel_setparent", "kernel_remcohort"])
+def test_kernel_of_long_conversations(spark, tmp_path, name):
+    """Turns of two and three digits keep their labels."""
+    roles = ["system", "user", "assistant", "user", "user", "assistant"]
+    rows = [(c, t, roles[(t + c) % 6], "x" * (150 + 10 * t)) for c in (1, 2) for t in [*range(25), 100, 117]]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(SQL[name]).select("doc_id", "tokens").fetchall()
+    assert sorted((r.doc_id, r.tokens) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__
 
