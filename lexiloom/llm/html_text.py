@@ -3,11 +3,15 @@
 A page is cut into blocks at its block-level tags.  First pass: a block is
 *good* or *bad* if structure or density decides it, else *short* or *near*
 (ambiguous).  Structure: blocks inside navigation, forms, adverts, comments and
-the like are bad; blocks inside an article are good.  Where a page marks no
-article, density decides: many links, bad; enough text with enough stop words,
-good.  Second pass: ambiguous blocks take the label of their nearest decided
-neighbours; between a good and a bad one the nearer wins, at equal distance
-only those of medium density are kept.
+the like are bad.  All others go by density: many links, bad; enough text with
+enough stop words, good.  Being inside an article is a prior: fewer stop words
+are enough there, and too few make a block ambiguous instead of bad.  Second
+pass: ambiguous blocks take the label of their nearest decided neighbours;
+between a good and a bad one the nearer wins, at equal distance only those of
+medium density or inside an article are kept.  Inside an article, what lies in
+navigation and the like is no neighbour, and a block with nothing decided
+before it is kept; outside, where an article has good text, only a heading
+before good text or what has good text on both sides is kept.
 
 Scale: pages are read once, without a shuffle, in time linear in their length.
 
@@ -208,36 +212,38 @@ def _stop_density(words: list[str]) -> float:
 
 def label(found: list[Block]) -> list[Block]:
     """Both passes; sets each block's label to good or bad."""
-    marked = any(b.place == "good" for b in found)
     for b in found:
-        if b.place == "bad" or (marked and b.place == "open"):
-            b.label = "bad"
-        elif b.place == "good":
-            b.label = "good"
-        elif b.linked / len(b.text) > MAX_LINKS or "\N{COPYRIGHT SIGN}" in b.text:
+        inside = b.place == "good"
+        if b.place == "bad" or b.linked / len(b.text) > MAX_LINKS or (not inside and "\N{COPYRIGHT SIGN}" in b.text):
             b.label = "bad"
         elif len(b.text) < SHORT_CHARS:
-            b.label = "bad" if b.linked else "short"
+            b.label = "bad" if b.linked and not inside else "short"
         else:
             density = _stop_density(re.findall(r"\w+", b.text.lower()))
-            if density >= STOP_HIGH:
+            if density >= (STOP_LOW if inside else STOP_HIGH):
                 b.label = "good" if len(b.text) > LONG_CHARS else "near"
             else:
-                b.label = "near" if density >= STOP_LOW else "bad"
+                b.label = "near" if inside or density >= STOP_LOW else "bad"
     firm = [b.label for b in found]
-    before, after = _nearest(firm), _nearest(firm[::-1])[::-1]
+    marked = any(b.place == b.label == "good" for b in found)
+    around = list(zip(_nearest(firm), _nearest(firm[::-1])[::-1]))
+    content = ["" if b.place == "bad" else b.label for b in found]
+    around_content = list(zip(_nearest(content), _nearest(content[::-1])[::-1]))
     for i, b in enumerate(found):
         if firm[i] in ("good", "bad"):
             continue
-        (left, far_left), (right, far_right) = before[i], after[i]
+        inside = b.place == "good"
+        (left, far_left), (right, far_right) = (around_content if inside else around)[i]
         if left == right:
-            b.label = left or ("good" if firm[i] == "near" else "bad")
+            b.label = left or ("good" if inside or firm[i] == "near" else "bad")
         elif b.heading and right == "good":
             b.label = "good"
+        elif (inside and not left) or (marked and not inside):
+            b.label = "good" if inside else "bad"
         elif far_left != far_right:
             b.label = (left if far_left < far_right else right) or left or right
         else:
-            b.label = "good" if firm[i] == "near" else "bad"
+            b.label = "good" if inside or firm[i] == "near" else "bad"
     return found
 
 

@@ -99,6 +99,22 @@ def test_html_long_attributes():
     assert html_text.main_text("<article><p>" + "<a b='" * 50_000).strip() == ""
 
 
+def test_html_article_is_a_prior():
+    """Density decides inside and outside articles; an article only tips the scales."""
+    text = lambda n: f"It was {n} in the morning and they had been on the road with all of their things for most of the day. " * 3
+    whole = lambda *parts: "\n\n".join(" ".join(x.split()) for x in parts)
+    card = "<article><h3><a href=/x>A title of some other story</a></h3><p>The story of a man who was in the city and of what he had to say. <a href=/x>More</a></p></article>"
+    body = f"<div><h1>The road</h1><p>{text('one')}</p><p>They went on.</p><p>{text('two')}</p></div>"
+    assert html_text.main_text(f"<nav><a href=/>Home</a></nav>{body}<div>{card * 4}</div><footer>End</footer>") == whole("The road", text("one"), "They went on.", text("two"))
+    links = "<p>" + "<a href=/x>Another long link to elsewhere</a> " * 8 + "</p>"
+    low = "<p>" + "Kernel matrix vector tensor gradient " * 8 + "</p>"
+    found = html_text.main_text(f"<div>Welcome to us</div><article><h1>T</h1><p>{text('one')}</p>{low}{links}<p>{text('two')}</p></article>{low}")
+    assert found == whole("T", text("one"), low[3:-4], text("two"))
+    short = "<nav><a href=/>Home</a></nav><article><p>Short news.</p><p>No more of it.</p></article><footer>End</footer>"
+    assert html_text.main_text(short) == "Short news.\n\nNo more of it."
+    assert html_text.main_text(f"<nav><a href=/>Home</a></nav>{body}{links}") == whole("The road", text("one"), "They went on.", text("two"))
+
+
 def test_chat_odd_rows(spark):
     rows = [
         (1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "psst"),
