@@ -14,7 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: The tables this process wrote: the frame that reads each, and its path.
+_written: list[tuple[DataFrame, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one is set up only where none is named (tests)."""
+    """The shared folder.  Only a local master, as in tests, gets one of its own; a cluster has to name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -42,21 +45,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     if not _written:
         atexit.register(clean_up)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _written.append((found, path))
+    return found
 
 
-def drop(df_path_label: str) -> None:
-    """Remove the tables whose label is given; callers do so once no plan reads them."""
-    for spark, path in [x for x in _written if f"/{df_path_label}-" in x[1]]:
-        _remove(spark, path)
-        _written.remove((spark, path))
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`materialize` returned; callers do so once no plan reads them."""
+    for found, path in [x for x in _written if any(x[0] is t for t in tables)]:
+        _remove(found.sparkSession, path)
+    _written[:] = [x for x in _written if not any(x[0] is t for t in tables)]
 
 
 def clean_up() -> None:
     """Remove every intermediate table this process wrote."""
     while _written:
-        _remove(*_written.pop())
+        found, path = _written.pop()
+        _remove(found.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
