@@ -4,21 +4,27 @@
      equal sets form a *class*; only its representative goes on, with the
      number of its copies.
   2. Bands of MinHash values are shuffled.  In each bucket every class is tied
-     to the bucket's least one, so a bucket of n classes gives n - 1 ties, and
-     the components of all ties hold every candidate pair.
-  3. A component is dealt into blocks of bounded size; each pair of blocks is
-     one group, in which all pairs are compared on their full sets.  A group
-     returns link counts and a spanning forest, never its pairs.
-  4. The components of the forests are the near-duplicate groups.
+     to the bucket's least one, its hub; a class's hubs are tied to the least
+     of them.  The components of these ties hold every candidate pair.
+  3. A component is compared as one group if that takes no more pairs than its
+     buckets together; else bucket by bucket, where a pair counts in the first
+     band it shares.  So a component that many small buckets have chained costs
+     what its buckets cost, and a dense one is not compared once per band.
+  4. Groups are dealt into blocks of bounded size; for each pair of blocks all
+     pairs are compared on their full sets, which gives link counts and a
+     spanning forest, never pairs.
+  5. The components of the forests are the near-duplicate groups.
 
 Bands and rows: the most rows per band with which ``recall`` is reached at the
 threshold within ``max_hashes`` values.
 
-Scale: exact copies meet by map-side aggregation.  A bucket or component that
-holds a third of all rows is spread over block pairs, each with a bounded
-number of bytes; comparing its different texts with each other is the square
-of their number because every one of these links is asked for, but nothing of
-that size is emitted or held.
+Scale: exact copies meet by map-side aggregation.  Buckets that hold more than
+a thousandth of all classes, which are a bounded number, get their hub by a
+broadcast, so that their rows stay where they are.  A group of n different
+texts in blocks of b is n * n / 2 comparisons, because every one of these links
+is asked for, in n * n / (2 * b * b) tasks of bounded memory; each set is sent
+n / b times and each task returns a row per class, counts that are summed
+map-side.  Blocks grow with the group, from 256 to 1,024 classes.
 
 Cases: null texts and texts without words have no shingles, no links and each
 its own class.  A text of one to four words has one shingle, all its words.
@@ -45,9 +51,11 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 128
-#: Classes and shingles in a block of a component.
-BLOCK_CLASSES = 256
+#: Classes in a block: a group's sixteenth between these two; and at most so many shingles, unless one text has more.
+BLOCK_CLASSES = (256, 1024)
 BLOCK_SHINGLES = 1_000_000
+#: A bucket with a larger share of the classes, and so many, gets its hub by a broadcast.
+HOT_SHARE, HOT_CLASSES = 1000, 1000
 #: Up to so many classes may be broadcast as keys; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -120,17 +128,22 @@ def signatures(docs: DataFrame, threshold: float, recall: float, max_hashes: int
     )
 
 
-def _candidate_ties(classes: DataFrame) -> DataFrame:
-    """Distinct (a, b): each class of a bucket with the bucket's least class."""
+def bucket_rows(classes: DataFrame) -> DataFrame:
+    """band, hash, digest, hub, n: a row for each class in a bucket of several classes, with the bucket's least class."""
     rows = classes.select("digest", F.posexplode("bands").alias("band", "hash"))
-    hubs = (
-        rows.groupBy("band", "hash").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("band", "hash", "hub")
+    hubs = materialize(
+        rows.groupBy("band", "hash").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "hubs"
     )
-    return (
-        rows.join(hubs, ["band", "hash"]).filter(F.col("digest") != F.col("hub"))
-        .select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
-    )
+    hot = F.col("n") > max(HOT_CLASSES, classes.count() // HOT_SHARE)  # at most HOT_SHARE of them in each band
+    spread = rows.join(F.broadcast(hubs.filter(hot)), ["band", "hash"], "left")
+    cold = spread.filter("hub is null").drop("hub", "n").join(hubs.filter(~hot), ["band", "hash"])
+    return materialize(spread.filter("hub is not null").unionByName(cold), "buckets")
+
+
+def _ties(buckets: DataFrame) -> DataFrame:
+    """Distinct (a, b): each class with its least hub, and its other hubs with that."""
+    hubs = buckets.groupBy("digest").agg(F.collect_set("hub").alias("hubs"), F.min("hub").alias("b"))
+    return hubs.select("b", F.explode(F.array_union(F.array("digest"), "hubs")).alias("a")).filter("a != b").select("a", "b").distinct()
 
 
 def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -165,8 +178,11 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _compare(threshold: float, cross: bool, digests: list[bytes], copies: np.ndarray, sets: list[np.ndarray], half: np.ndarray):
-    """Per class: linked classes, their documents, and the least class that its links reach within the group."""
+def _compare(threshold: float, cross: bool, digests: list[bytes], copies: np.ndarray, sets: list[np.ndarray], half: np.ndarray, bands: np.ndarray):
+    """Per class: linked classes, their documents, and the least class that its links reach within the group.
+
+    A pair that shares one of the first ``bands.shape[1]`` bands is left to that band's bucket.
+    """
     n = len(digests)
     inter = _intersections(sets)
     sizes = np.array([len(x) for x in sets], np.float32)
@@ -175,8 +191,11 @@ def _compare(threshold: float, cross: bool, digests: list[bytes], copies: np.nda
     if cross:
         linked &= half[:, None] != half[None, :]
     root = np.arange(n)  # digests are sorted, so the least place is the least digest
+    reached = linked
+    for band in bands.T:
+        linked = linked & (band[:, None] != band[None, :])
     while True:
-        near = np.where(linked, root[None, :], n).min(axis=1, initial=n)
+        near = np.where(reached, root[None, :], n).min(axis=1, initial=n)
         new = np.minimum(root, near)
         new = new[new]
         if (new == root).all():
@@ -184,18 +203,35 @@ def _compare(threshold: float, cross: bool, digests: list[bytes], copies: np.nda
         root = new
 
 
-def links(docs: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float) -> DataFrame:
-    """Per class with candidates: digest, root (another or the same class of its group), class_links, doc_links."""
-    candidates = components(ties)
-    sized = classes.select("digest", "doc_id", "text_key", "copies", "n_shingles").join(
-        candidates.select(F.col("node").alias("digest"), F.col("root").alias("component")), "digest"
+def _groups(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """digest, group (component, and band and hash where it is compared by buckets), band (-1 for whole components), blocks."""
+    by_component = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles").cast("long")).alias("shingles"))
+    own = members.select("digest", "component", "n_shingles")
+    sized = (
+        buckets.join(own, "digest").groupBy("component", "band", "hash")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles").cast("long")).alias("shingles"))
+    )
+    pairs = sized.groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    ways = by_component.join(pairs, "component").withColumn("whole", (F.col("n") <= BLOCK_CLASSES[0]) | (F.col("n") * F.col("n") <= F.col("pairs")))
+    per_block = F.least(F.greatest(F.col("n") / 16, F.lit(float(BLOCK_CLASSES[0]))), F.lit(float(BLOCK_CLASSES[1])))
+    blocks = F.greatest(F.ceil(F.col("n") / per_block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    whole = own.join(ways.filter("whole").select("component", blocks), "component").select(
+        "digest", "component", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("hash"), "blocks"
+    )
+    parts = ways.filter("not whole").select("component").join(sized.select("component", "band", "hash", blocks), "component")
+    split = (
+        buckets.join(own, "digest").select("digest", "component", "band", "hash").join(parts, ["component", "band", "hash"])
+        .select("digest", "component", "band", "hash", "blocks")
+    )
+    return whole.unionByName(split)
+
+
+def links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, threshold: float) -> DataFrame:
+    """Per class with candidates, block pair and group: digest, root (another or the same class), class_links, doc_links."""
+    sized = classes.select("digest", "doc_id", "text_key", "copies", "n_shingles", "bands").join(
+        components(_ties(buckets)).select(F.col("node").alias("digest"), F.col("root").alias("component")), "digest"
     )
     members = materialize(sized, "candidates")
-    blocks = members.groupBy("component").agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum(F.col("n_shingles").cast("long")) / BLOCK_SHINGLES)
-        ).cast("int").alias("blocks")
-    )
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,23 +239,27 @@ def links(docs: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float
             yield batch.drop_columns(["text"]).append_column("set", pa.array(found, pa.binary()))
 
     with_sets = (
-        _texts_of(docs, members).select("component", "digest", "copies", "text")
-        .mapInArrow(to_sets, "component binary, digest binary, copies long, set binary")
+        _texts_of(docs, members).select("digest", "copies", "bands", "text")
+        .mapInArrow(to_sets, "digest binary, copies long, bands array<long>, set binary")
     )
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     dealt = (
-        with_sets.join(blocks, "component").withColumn("own", own)
+        with_sets.join(_groups(members, buckets), "digest").withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "digest", "copies", "set")
-    )
+        .select(
+            "component", "band", "hash", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+            "own", "digest", "copies", F.slice("bands", F.lit(1), F.greatest("band", F.lit(0))).alias("before"), "set",
+        )
+    )
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("digest")
         digests = rows.column("digest").to_pylist()
         own = rows.column("own").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("set")]
+        before = np.array(rows.column("before").to_pylist(), np.int64).reshape(len(digests), -1)
         cross = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
-        classes_linked, docs_linked, root = _compare(threshold, cross, digests, rows.column("copies").to_numpy(), sets, own)
+        classes_linked, docs_linked, root = _compare(threshold, cross, digests, rows.column("copies").to_numpy(), sets, own, before)
         return pa.table(
             {
                 "digest": pa.array(digests, pa.binary()),
@@ -229,7 +269,7 @@ def links(docs: DataFrame, classes: DataFrame, ties: DataFrame, threshold: float
             }
         )
 
-    return dealt.groupBy("component", "low", "high").applyInArrow(
+    return dealt.groupBy("component", "band", "hash", "low", "high").applyInArrow(
         compare, "digest binary, root binary, class_links long, doc_links long"
     )
 
@@ -253,7 +293,7 @@ def near_duplicates(
         .select("digest", "best.doc_id", "best.text_key", "copies", "n_shingles", "bands"),
         "classes",
     )
-    found = materialize(links(docs, classes, _candidate_ties(classes), threshold), "links")
+    found = materialize(links(docs, classes, bucket_rows(classes), threshold), "links")
     counts = found.groupBy("digest").agg(F.sum("class_links").alias("class_links"), F.sum("doc_links").alias("doc_links"))
     roots = components(found.filter(F.col("digest") != F.col("root")).select(F.col("digest").alias("a"), F.col("root").alias("b")))
     grouped = (
@@ -289,20 +329,18 @@ def _rank(doc_id: str, text_key: str):
 def keep_one(docs: DataFrame, **options: float) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the least doc_id.
 
-    Rows without words are groups of their own and all stay.
+    Rows without words are groups of their own and all stay.  Columns of any name pass through.
     """
-    names = docs.columns
     chosen = materialize(
         near_duplicates(docs.select("doc_id", "text"), **options).filter("first")
-        .groupBy(F.col("doc_id").alias("c_doc"), F.col("text_key").alias("c_text"))
-        .agg(F.count(F.lit(1)).alias("times"), F.max("n_copies").alias("c_n")),
+        .groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"), F.max("n_copies").alias("n_copies")),
         "chosen",
     )
-    key = F.xxhash64("text")
-    same = F.col("doc_id").eqNullSafe(F.col("c_doc")) & (key == F.col("c_text"))
-    once = docs.join(chosen.filter("times = 1 or c_n = 1"), same, "left_semi")
-    repeated = chosen.filter("times > 1 and c_n > 1")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("row_text"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("row_text") == F.col("text_key"))
+    once = rows.join(chosen.filter("times = 1 or n_copies = 1"), same, "left_semi").select("row.*")
+    repeated = chosen.filter("times > 1 and n_copies > 1")
     if repeated.isEmpty():
         return once
-    again = docs.join(repeated, same, "left_semi").withColumn("text_key", key).dropDuplicates(["doc_id", "text_key"])
-    return once.unionByName(again.select(*names))
+    again = rows.join(repeated, same, "left_semi").groupBy("row.doc_id", "row_text").agg(F.first("row").alias("row")).select("row.*")
+    return once.unionByName(again)

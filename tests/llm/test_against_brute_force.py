@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import pytest
 
+from lexiloom.llm.components import components
 from lexiloom.llm import byte_bpe, decontaminate, jaccard_join, language_id, piece_counts, pu_quality, queries, toxicity
 
 P = pytest.importorskip("public_tokenizers")
@@ -158,9 +159,10 @@ def test_jaccard_join(spark, sf_dir):
     assert kept == {i for i in sets if found[i].class_id == i}
 
 
-def test_jaccard_join_of_blocks(spark, monkeypatch):
-    """A group larger than a block loses no link."""
-    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 7)
+@pytest.mark.parametrize("block", [7, 2])
+def test_jaccard_join_of_blocks(spark, monkeypatch, block):
+    """A group larger than a block loses no link, compared whole or by buckets."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", (block, block))
     base = [f"w{i}" for i in range(300)]
     texts = []
     for i in range(40):
@@ -172,6 +174,38 @@ def test_jaccard_join_of_blocks(spark, monkeypatch):
     assert all(r.n_class_links == 39 and r.n_links == 42 for r in found)
 
 
+def test_jaccard_join_of_chains(spark, monkeypatch):
+    """A component chained by many small buckets is compared by buckets and counts each link once; hot buckets get their hub by broadcast."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", (2, 2))
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 50)
+    monkeypatch.setattr(jaccard_join, "HOT_CLASSES", 3)
+    words = [f"w{i}" for i in range(900)]
+    docs = [(i, " ".join(words[i * 8 : i * 8 + 160])) for i in range(80)]
+    sets = [set(jaccard_join.shingles(t).tolist()) for _, t in docs]
+    near = [[j for j in range(80) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(80)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    signed = jaccard_join.signatures(table, 0.8, 0.999, 128)
+    classes = signed.selectExpr("digest", "doc_id", "text_key", "1L as copies", "n_shingles", "bands")
+    buckets = jaccard_join.bucket_rows(classes)
+    members = classes.join(jaccard_join.components(jaccard_join._ties(buckets)).toDF("digest", "component"), "digest")
+    assert jaccard_join._groups(members, buckets).filter("band >= 0").count() > 0
+    found = {r.doc_id: r for r in jaccard_join.near_duplicates(table).collect()}
+    assert {r.class_id for r in found.values()} == {0}
+    wanted = sum(map(len, near))
+    assert all(found[i].n_links <= len(near[i]) for i in found) and sum(r.n_links for r in found.values()) >= 0.99 * wanted
+
+
+def test_components(spark):
+    """Paths, stars, loops and repeated edges; nulls drop."""
+    draw = random.Random(4)
+    names = draw.sample(range(1000), 120)
+    edges = list(zip(names[:50], names[1:50])) + [(names[60], x) for x in names[61:90]] + [(names[95], names[95])] + list(zip(names[:5], names[1:6]))
+    found = components(spark.createDataFrame([*edges, (None, 5)], "a long, b long")).collect()
+    want = {x: min(names[:50]) for x in names[:50]} | {x: min(names[60:90]) for x in names[60:90]} | {names[95]: names[95]}
+    assert {r.node: r.root for r in found} == want and len(found) == len(want)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_band_choice():
     bands, rows = jaccard_join.choose_bands(0.8, 0.999, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.999
