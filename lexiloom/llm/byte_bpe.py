@@ -19,8 +19,10 @@ no bucket is hot; a piece has a bounded number of tokens, so no group is large;
 buckets grow in number with the partitions.  Only the vocabulary, whose size is
 fixed, is broadcast.
 
-The splitting must give the same pieces when a lost task is run again, so pass
-a stored table or a plan whose row order is stable.
+Pieces are cut by the rows' own contents, whatever batches Spark hands them
+over in.  The splitting must give the same pieces when it is run again, so pass
+a stored table or a plan whose row order is stable; a fingerprint of each
+piece's words is compared, and a difference is an error.
 
 Cases: null and empty texts have no ids and decode to nothing.  Rows may
 repeat, any column but ``text`` may be null or have any name; all are carried
@@ -43,8 +45,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Pre-tokens in a piece; a longer text is a piece of its own.
+#: A piece ends with the text that brings it to so many pre-tokens or rows.
 PIECE_TOKENS = 1_000_000
+PIECE_ROWS = 20_000
 
 
 # --- splitting -----------------------------------------------------------------------------
@@ -126,8 +129,8 @@ def _packed(values: np.ndarray) -> bytes:
     return _squeeze(pack(values)[0])
 
 
-#: A row of a piece: in a bucket its words there (text and lengths, later ids and their numbers); in bucket -1 its documents
-#: (token counts, other columns) and all places, by word.
+#: A row of a piece: in a bucket its words there (text and lengths, later ids and their numbers; a fingerprint as counts); in
+#: bucket -1 its documents (token counts, other columns), all places by word, and the sum of the fingerprints as places' head.
 _ROWS = "piece string, bucket int, words binary, lengths binary, counts binary, places binary"
 _ARROW = pa.schema([("piece", pa.string()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in ("words", "lengths", "counts", "places")]])
 
@@ -150,27 +153,37 @@ def _rows(name: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *[pa.array(x, f.type) for x, f in zip(columns, list(_ARROW)[1:])]], schema=_ARROW)
 
 
-def _word_rows(name: str, words: list[str], counts: list[int], others: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
-    _, distinct, bucket = _ordered(words, buckets)
+def _by_bucket(distinct: list[str], bucket: np.ndarray) -> Iterator[tuple[int, list[str], str, int]]:
+    """Bucket, words, their text and its fingerprint."""
     cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(distinct))
-    rows = []
     for low, high in zip(cuts, cuts[1:]):
         own = distinct[low:high]
-        rows.append((int(bucket[low]), _squeeze("".join(own).encode()), _packed(np.fromiter(map(len, own), np.int64, len(own))), b"", b""))
-    return _rows(name, rows)
+        text = "".join(own)
+        yield int(bucket[low]), own, text, xxhash.xxh64_intdigest(text.encode(), len(own))
+
+
+def _word_rows(name: str, words: list[str], counts: list[int], others: list[pa.RecordBatch], buckets: int) -> pa.RecordBatch:
+    _, distinct, bucket = _ordered(words, buckets)
+    return _rows(name, [
+        (k, _squeeze(text.encode()), _packed(np.fromiter(map(len, own), np.int64, len(own))), mark.to_bytes(8, "little"), b"")
+        for k, own, text, mark in _by_bucket(distinct, bucket)
+    ])
 
 
-def _place_rows(name: str, words: list[str], counts: list[int], others: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
-    ids, _, _ = _ordered(words, buckets)
+def _place_rows(name: str, words: list[str], counts: list[int], others: list[pa.RecordBatch], buckets: int) -> pa.RecordBatch:
+    ids, distinct, bucket = _ordered(words, buckets)
+    marks = sum(mark for *_, mark in _by_bucket(distinct, bucket)) % 2**64
     order = np.argsort(ids, kind="stable")
     gaps = np.diff(order, prepend=0)
     heads = np.flatnonzero(np.diff(ids[order], prepend=-1))
     gaps[heads] = order[heads]
     times = np.diff(np.append(heads, len(order)))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, others.schema) as out:
-        out.write_batch(others)
-    return _rows(name, [(-1, _squeeze(sink.getvalue().to_pybytes()), _packed(times), _packed(np.array(counts, np.int64)), _packed(gaps))])
+    with pa.ipc.new_stream(sink, others[0].schema) as out:
+        for part in others:
+            out.write_batch(part)
+    places = marks.to_bytes(8, "little") + _packed(gaps)
+    return _rows(name, [(-1, _squeeze(sink.getvalue().to_pybytes()), _packed(times), _packed(np.array(counts, np.int64)), places)])
 
 
 # --- vocabulary ----------------------------------------------------------------------------
@@ -215,17 +228,20 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, to: str = "ids", piece_t
     def deal(to_rows):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find, task, k = splitter(pattern), TaskContext.get().partitionId(), 0
+            words, counts, others = [], [], []
             for batch in batches:
-                texts = batch.column("text")
-                others = batch.drop_columns(["text"])
-                words, counts, begin = [], [], 0
+                texts, rest, begin = batch.column("text"), batch.drop_columns(["text"]), 0
                 for i in range(batch.num_rows):
                     found = find(texts[i].as_py() or "")
                     words += found
                     counts.append(len(found))
-                    if len(words) >= piece_tokens or i == batch.num_rows - 1:
-                        yield to_rows(f"{task}-{k}", words, counts, others.slice(begin, i + 1 - begin), buckets)
-                        words, counts, begin, k = [], [], i + 1, k + 1
+                    if len(words) >= piece_tokens or len(counts) >= PIECE_ROWS:
+                        yield to_rows(f"{task}-{k}", words, counts, [*others, rest.slice(begin, i + 1 - begin)], buckets)
+                        words, counts, others, begin, k = [], [], [], i + 1, k + 1
+                if begin < batch.num_rows:
+                    others.append(rest.slice(begin))
+            if counts:
+                yield to_rows(f"{task}-{k}", words, counts, others, buckets)
 
         return run
 
@@ -250,16 +266,18 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, to: str = "ids", piece_t
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     def lay_out(rows: pa.Table) -> pa.Table:
-        flat, size = [], []
+        flat, size, marks = [], [], 0
         for row in sorted(rows.to_pylist(), key=lambda r: r["bucket"]):
             if row["bucket"] < 0:
                 others = pa.ipc.open_stream(_spread(row["words"])).read_all()
-                each, counts, gaps = _numbers(row["lengths"]), _numbers(row["counts"]), _numbers(row["places"])
+                each, counts, gaps = _numbers(row["lengths"]), _numbers(row["counts"]), _numbers(row["places"][8:])
+                marks -= int.from_bytes(row["places"][:8], "little")
             else:
+                marks += int.from_bytes(row["counts"], "little")
                 flat.append(_numbers(row["words"]))
                 size.append(_numbers(row["lengths"]))
         flat, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (flat, size))
-        if len(size) != len(each):
+        if marks % 2**64 or len(size) != len(each):
             raise ValueError("the two splittings of the input differ: its rows must come in a stable order")
         total = int(counts.sum())
         at = np.concatenate(([0], np.cumsum(size)))[:-1]
@@ -270,7 +288,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, to: str = "ids", piece_t
         pick = np.arange(int(ends[-1]) if total else 0) - np.repeat(ends - sizes, sizes) + np.repeat(at[word_at], sizes)
         cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat[pick], pa.int32()))
-        return others.append_column(to, ids)
+        return others.append_column(to, ids) if others.num_columns else pa.table({to: ids})
 
     kept = [f for f in docs.schema.fields if f.name not in ("text", to)]
     schema = T.StructType([*kept, T.StructField(to, T.ArrayType(T.IntegerType()))])

@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 
 from lexiloom.llm.components import components
+from lexiloom.storage import materialize
 from lexiloom.llm import byte_bpe, decontaminate, jaccard_join, language_id, piece_counts, pu_quality, queries, toxicity
 
 P = pytest.importorskip("public_tokenizers")
@@ -44,6 +45,25 @@ def test_bpe_small_pieces_and_round_trip(spark):
     assert {r.doc_id: bytes(r.decoded).decode() for r in both.collect()} == dict(rows)
 
 
+def test_bpe_in_batches_of_any_size(spark, encoding):
+    """Long texts and wide columns, cut into batches by bytes and by rows."""
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(500)]
+    rows = [(i, " ".join(draw.choices(words, k=1500)), "w" * draw.randint(0, 600), None) for i in range(400)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, wide string, ids string").coalesce(2), "wide")
+    want = {i: encoding.encode_ordinary(t) for i, t, _, _ in rows}
+    for conf, value in [("maxBytesPerBatch", "100k"), ("maxBytesPerBatch", "1m"), ("maxRecordsPerBatch", "7")]:
+        name = f"spark.sql.execution.arrow.{conf}"
+        old = spark.conf.get(name)
+        spark.conf.set(name, value)
+        try:
+            for tokens in (byte_bpe.PIECE_TOKENS, 40_000):
+                found = byte_bpe.encode(docs, RANKS, P.PATTERN, piece_tokens=tokens).collect()
+                assert {r.doc_id: r.ids for r in found} == want and all(len(r.wide) <= 600 for r in found)
+        finally:
+            spark.conf.set(name, old)
+
+
 def test_splitter_equals_the_pattern(encoding):
     draw = random.Random(1)
     alphabet = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "'ll", "'", "1", "²", "½", "Ⅷ", "_", "-", "!", "　", "\x1c", "\x85", "\xa0", "漢", "🙂", "𝒳", "𝟘", "́"]
