@@ -11,14 +11,19 @@ vocabulary of the items, and only runs in which every neighbouring pair of
 words is also a pair of neighbours in some item, and which are as long as the
 shortest window, are streamed.  Elsewhere no window can occur.
 
-Scale: documents are scanned once, without a shuffle.  Items are dealt into
-shards of at most ``shard_words`` words, so a worker's automaton has a bounded
-size however large the benchmark is; with more than one shard each shard scans
-the documents and the hit spans are merged per document.
+Scale: documents are scanned once, without a shuffle.  Items are cut into
+overlapping pieces that hold all their windows, and the pieces are dealt into
+shards of about ``shard_words`` words, so a worker's automaton and what passes
+the driver have a bounded size however large the benchmark or an item is; with
+more than one shard each shard scans the documents, and the hit spans are
+merged per document.
 
 Cases: null and empty texts have no words and are never contaminated.  Items
-without words match nothing.  Repeated items all count.  An empty benchmark
-leaves every document clean.  Rows may repeat; each is judged alone.
+without words match nothing.  Rows of one item_id are one item; those with a
+null id are one item without a name, last in ``items``.  An empty benchmark
+leaves every document clean.  Rows may repeat; each is judged alone.  Columns
+of any name pass through :func:`decontaminate`; :func:`match_documents`
+replaces those of its output's names.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +47,8 @@ WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 WINDOW = 13
 #: Words of benchmark items in one automaton: about 0.2 GB of Python objects.
 SHARD_WORDS = 200_000
+#: Words of a longer item's pieces.
+ITEM_WORDS = 20_000
 #: A document is contaminated when at least one word in so many is hit.
 MAX_COVERAGE = 20
 
@@ -122,7 +130,7 @@ class SuffixAutomaton:
 class Matcher:
     """Finds item windows in documents."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
@@ -132,7 +140,7 @@ class Matcher:
         for _, ids in sequences:
             self.automaton.add(ids)
         #: By state: items of which a window, or the whole if shorter, ends there; by length.
-        self.ends: dict[int, dict[int, list[str]]] = {}
+        self.ends: dict[int, dict[int, list[str | None]]] = {}
         pairs: set[int] = set()
         size = len(self.vocabulary)
         for item, ids in sequences:
@@ -162,7 +170,7 @@ class Matcher:
             if end - start + 1 >= self.shortest:
                 yield int(start), int(end) + 1
 
-    def match(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str], int]:
+    def match(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str | None], int]:
         """Word count, merged hit spans [start, end) in words, items and the longest match within the screened runs."""
         words = words_of(text)
         if not words or not self.shortest or len(words) < self.shortest:
@@ -170,7 +178,7 @@ class Matcher:
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         longest = 0
         link, length, ends = self.automaton.link, self.automaton.length, self.ends
         for start, end in self._runs(ids):
@@ -193,7 +201,7 @@ class Matcher:
 _matchers: dict[str, Matcher] = {}
 
 
-def _matcher(items: list[tuple[str, str]], window: int) -> Matcher:
+def _matcher(items: list[tuple[str | None, str]], window: int) -> Matcher:
     """One per worker process and shard."""
     key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
     if key not in _matchers:
@@ -202,63 +210,97 @@ def _matcher(items: list[tuple[str, str]], window: int) -> Matcher:
     return _matchers[key]
 
 
-def shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> list[DataFrame]:
-    """The items dealt into parts of about ``shard_words`` words, by a size counted on the executors.
+def pieces(text: str | None, window: int, size: int) -> Iterator[tuple[str, int]]:
+    """(text, words) of the parts of an item, which overlap so that each window is whole in one of them."""
+    words = words_of(text)
+    if len(words) <= size:
+        if words:
+            yield b" ".join(words).decode(), len(words)
+        return
+    for start in range(0, len(words) - window + 1, size - window + 1):
+        part = words[start : start + size]
+        yield b" ".join(part).decode(), len(part)
 
-    An item longer than a part gets a part of its own.
-    """
-    sized = materialize(
-        benchmark.select(F.col("item_id").cast("string").alias("item"), "text", F.length("text").alias("n")), "benchmark"
-    )
-    # a word has a character and, but for the last, a separator
-    parts = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // (2 * shard_words)))
+
+def shards(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> list[DataFrame]:
+    """(item, text, n): the items' pieces dealt into parts of about ``shard_words`` words; cut and counted on the executors."""
+    size = max(2 * window, min(ITEM_WORDS, shard_words))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(item, *part) for item, text in zip(batch["item"], batch["text"]) for part in pieces(text, window, size)]
+            yield pd.DataFrame(rows, columns=["item", "text", "n"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    sized = materialize(items.mapInPandas(run, "item string, text string, n long"), "benchmark")
+    parts = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // shard_words))
     if parts == 1:
         return [sized]
     return [sized.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)]
 
 
-_SPANS = "n_words long, spans array<struct<s:int,e:int>>, items array<string>, longest int"
+FOUND = ("n_words", "spans", "items", "longest")
+_TYPES = ("long", "array<struct<s:int,e:int>>", "array<string>", "int")
+_ARROW = (pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.list_(pa.string()), pa.int32())
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, longer by as many underscores as make it differ from all names ``taken``."""
+    known = {x.lower() for x in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
-def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` with n_words, spans (hit words, [s, e)), items and longest.
+def match_documents(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, names: tuple[str, ...] = FOUND
+) -> DataFrame:
+    """``docs`` with n_words, spans (hit words, [s, e)), items and longest, or other ``names`` for these.
 
     ``longest`` is the longest match among stretches that may hold a window.
     """
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_SPANS).fields])
+    added = [f"`{name}` {kind}" for name, kind in zip(names, _TYPES)]
+    clash = {x.lower() for x in names}
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in clash])
 
-    def scan(part: DataFrame, rows: DataFrame, to: T.StructType) -> DataFrame:
-        items = [(r.item, r.text) for r in part.select("item", "text").toLocalIterator() if r.item is not None and r.text]
-        shared = docs.sparkSession.sparkContext.broadcast(items)  # at most one shard
+    def scan(part: DataFrame, rows: DataFrame) -> DataFrame:
+        items = [(r.item, r.text) for r in part.select("item", "text").toLocalIterator()]
+        shared = rows.sparkSession.sparkContext.broadcast(items)  # at most one shard
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared.value, window)
             for batch in batches:
-                found = [matcher.match(x) for x in batch["text"]]
-                batch["n_words"] = [x[0] for x in found]
-                batch["spans"] = [[{"s": s, "e": e} for s, e in x[1]] for x in found]
-                batch["items"] = [sorted(x[2]) for x in found]
-                batch["longest"] = [x[3] for x in found]
-                yield batch[to.names]
-
-        return rows.mapInPandas(run, to)
-
-    parts = shards(benchmark, shard_words)
+                found = [matcher.match(x.as_py()) for x in batch.column("text")]
+                columns = (
+                    [x[0] for x in found],
+                    [[{"s": s, "e": e} for s, e in x[1]] for x in found],
+                    [sorted(x[2] - {None}) + [None] * (None in x[2]) for x in found],
+                    [x[3] for x in found],
+                )
+                for name, kind, values in zip(names, _ARROW, columns):
+                    batch = batch.append_column(name, pa.array(values, kind))
+                yield batch
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T._parse_datatype_string(", ".join(added)).fields]))
+
+    parts = shards(benchmark, window, shard_words)
     if len(parts) == 1:
-        return scan(parts[0], docs, schema)
-    numbered = materialize(docs.withColumn("row_of", F.monotonically_increasing_id()), "decontaminate")
-    narrow = T.StructType([T.StructField("row_of", T.LongType()), *T._parse_datatype_string(_SPANS).fields])
+        return scan(parts[0], docs)
+    row = _free("row_of", [*docs.columns, *names])
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
     found = None
     for part in parts:
-        rows = scan(part, numbered.select("row_of", "text"), narrow)
+        rows = scan(part, numbered.select(row, "text")).drop("text")
         found = rows if found is None else found.unionByName(rows)
-    merged = found.groupBy("row_of").agg(
-        F.max("n_words").alias("n_words"),
-        merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max("longest").alias("longest"),
+    n_words, spans, items, longest = names
+    merged = found.groupBy(row).agg(
+        F.max(n_words).alias(n_words),
+        merge_spans(F.flatten(F.collect_list(spans))).alias(spans),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items),
+        F.max(longest).alias(longest),
     )
-    return numbered.join(merged, "row_of").select(*schema.names)
+    named = F.concat(F.filter(items, lambda x: x.isNotNull()), F.filter(items, lambda x: x.isNull()))
+    return numbered.join(merged.withColumn(items, named), row).drop(row)
 
 
 def merge_spans(spans):
@@ -273,13 +315,13 @@ def merge_spans(spans):
     return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<s:int,e:int>>"), join)
 
 
-def n_hit():
-    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+def n_hit(spans: str = "spans"):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
 
 
-def contaminated(coverage: int = MAX_COVERAGE):
-    hit = n_hit()
-    return (hit > 0) & (coverage * hit >= F.col("n_words"))
+def contaminated(coverage: int = MAX_COVERAGE, n_words: str = "n_words", spans: str = "spans"):
+    hit = n_hit(spans)
+    return (hit > 0) & (coverage * hit >= F.col(n_words))
 
 
 def remove_spans(text: str | None, spans: list[dict[str, int]]) -> str | None:
@@ -296,18 +338,32 @@ def remove_spans(text: str | None, spans: list[dict[str, int]]) -> str | None:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = MAX_COVERAGE) -> DataFrame:
-    """``docs`` without contaminated documents; hit spans of the others are cut out."""
-    names = docs.columns
-    kept = match_documents(docs, benchmark, window).filter(~contaminated(coverage))
-    schema = docs.schema
+    """``docs`` without contaminated documents; hit spans of the others are cut out, and n_chars follows."""
+    names = tuple(_free(x, docs.columns) for x in FOUND)
+    n_words, spans = names[:2]
+    kept = match_documents(docs, benchmark, window, names=names).filter(~contaminated(coverage, n_words, spans))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = batch["spans"].map(len) > 0
-            if hit.any():
-                batch.loc[hit, "text"] = [remove_spans(t, s) for t, s in zip(batch.loc[hit, "text"], batch.loc[hit, "spans"])]
-                if "n_chars" in batch:
-                    batch.loc[hit, "n_chars"] = batch.loc[hit, "text"].str.len()
-            yield batch[names]
-
-    return kept.mapInPandas(cut, schema)
+            found = batch.column(spans).to_pylist()
+            rest = batch.drop_columns(list(names))
+            hit = [i for i, x in enumerate(found) if x]
+            if hit:
+                texts = batch.column("text").to_pylist()
+                for i in hit:
+                    texts[i] = remove_spans(texts[i], found[i])
+                rest = _replaced(rest, "text", texts)
+                if "n_chars" in rest.schema.names:
+                    sizes = rest.column("n_chars").to_pylist()
+                    for i in hit:
+                        sizes[i] = len(texts[i])
+                    rest = _replaced(rest, "n_chars", sizes)
+            yield rest
+
+    return kept.mapInArrow(cut, docs.schema)
+
+
+def _replaced(batch: pa.RecordBatch, name: str, values: list) -> pa.RecordBatch:
+    at = batch.schema.get_field_index(name)
+    field = batch.schema.field(at)
+    return batch.set_column(at, field, pa.array(values, field.type))

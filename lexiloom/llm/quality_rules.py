@@ -19,7 +19,7 @@ line found in a third of all documents sends one row per task.
 
 Cases: a null text has no words and no lines; it fails the base rules.  A null
 host is a host of its own.  Repeated rows get equal verdicts.  Other columns of
-the input pass through :func:`clean` untouched and are ignored by
+the input, of any name, pass through :func:`clean` untouched and are ignored by
 :func:`judge`.  An empty table gives an empty result.
 """
 
@@ -199,21 +199,17 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT)
 def clean(docs: DataFrame, **limits: float) -> DataFrame:
     """The kept rows of ``docs`` without the lines above the limits, with n_chars to match.
 
-    All columns of ``docs`` stay, in their order.
+    All columns of ``docs`` stay, in their order and whatever their names.
     """
-    names = docs.columns
     verdicts = (
         judge(docs.select("doc_id", "text", "source"), **limits)
-        .filter("kept")
-        .groupBy(F.col("source").alias("v_source"), F.col("text_key").alias("v_text_key"))
-        .agg(F.first("removed_lines").alias("v_lines"))
-    )
-    key = text_key(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.join(verdicts, F.col("source").eqNullSafe(F.col("v_source")) & (key == F.col("v_text_key")), "inner")
-    left = F.when(F.size("v_lines") == 0, F.col("text")).otherwise(
-        F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("v_lines"), line_key(x))), "\n")
-    )
-    changed = joined.withColumn("text", left)
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*names)
+        .filter("kept").groupBy("source", "text_key").agg(F.first("removed_lines").alias("lines"))
+    )
+    row = F.col("row")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    joined = rows.join(verdicts, row["source"].eqNullSafe(F.col("source")) & (F.col("key") == F.col("text_key")), "inner")
+    left = F.array_join(F.filter(F.split(row["text"], "\n", -1), lambda x: ~F.array_contains(F.col("lines"), line_key(x))), "\n")
+    changed = row.withField("text", left)
+    if "n_chars" in docs.columns:
+        changed = changed.withField("n_chars", F.length(left).cast(docs.schema["n_chars"].dataType))
+    return joined.select(F.when(F.size("lines") == 0, row).otherwise(changed).alias("row")).select("row.*")

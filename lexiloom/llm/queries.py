@@ -48,23 +48,21 @@ WITH d AS (
   SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w3) AS c FROM win) WHERE c > 1
 ), repw AS (
   SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) AS t(k) GROUP BY rid
-), sk AS (
-  SELECT rid, min(md5(w)) AS sketch FROM (SELECT rid, unnest(ws) AS w FROM s) WHERE length(w) >= 10 GROUP BY rid
 ), b AS (
-  SELECT s.rid, doc_id, source, text, coalesce(sk.sketch, md5(text)) AS sketch, ls,
+  SELECT s.rid, doc_id, source, text, ls,
          len(ws)::BIGINT AS n_words,
          length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
-  FROM s LEFT JOIN repw USING (rid) LEFT JOIN sk ON sk.rid = s.rid
+  FROM s LEFT JOIN repw USING (rid)
 ), l AS (
-  SELECT rid, source, text, sketch, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
+  SELECT rid, source, text, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
          len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words
-  FROM (SELECT rid, source, text, sketch, unnest(ls) AS x FROM b)
+  FROM (SELECT rid, source, text, unnest(ls) AS x FROM b)
 ), above AS (
   SELECT source, line FROM l GROUP BY source, line
-  HAVING count(DISTINCT sketch) > 20 AND count(DISTINCT sketch) >= 0.5 * count(DISTINCT text)
+  HAVING count(DISTINCT text) > 20
 ), removed AS (
   SELECT rid, sum(words)::BIGINT AS removed_words
   FROM l JOIN above ON l.line = above.line AND l.source IS NOT DISTINCT FROM above.source GROUP BY rid
@@ -124,7 +122,7 @@ WITH d AS (
 ), b AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM benchmark
 ), bw AS (
   SELECT DISTINCT item, least(13, len(ws)) AS size, array_to_string(ws[i : i + least(13, len(ws)) - 1], ' ') AS w
   FROM (SELECT item, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
@@ -139,7 +137,8 @@ WITH d AS (
   SELECT rid, count(DISTINCT k) AS n_hit
   FROM (SELECT DISTINCT rid, unnest(range(i, i + size)) AS k FROM hits) GROUP BY rid
 ), it AS (
-  SELECT rid, count(DISTINCT item) AS n_items, array_to_string(list_sort(list_distinct(list(item))), ',') AS items
+  SELECT rid, count(DISTINCT item) + max(CASE WHEN item IS NULL THEN 1 ELSE 0 END) AS n_items,
+         array_to_string(list_sort(list_distinct(list(item))), ',') AS items
   FROM hits GROUP BY rid
 )
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
@@ -152,10 +151,7 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN it ON it.rid = d.rid
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = chat_format.rotate(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     spans = F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
-    return shown.select(
-        "conv_id", "speaker", F.col("segment").cast("long").alias("segment"), F.col("part").cast("long").alias("part"),
-        F.col("n_turns").cast("long").alias("n_turns"), "text", F.array_join(spans, ",").alias("mask"),
-    )
+    return shown.select("conv_id", "speaker", "part", F.col("n_turns").cast("long").alias("n_turns"), "text", F.array_join(spans, ",").alias("mask"))
 
 
 OP6_SQL = r"""
@@ -164,25 +160,23 @@ WITH t AS (
          replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations
 ), n AS (
-  SELECT *, floor(turn / 64)::BIGINT AS segment,
-         row_number() OVER (PARTITION BY conv_id, floor(turn / 64) ORDER BY turn, role, text) AS rn
-  FROM t
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM t
 ), p AS (
   SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role NOT IN ('', 'system')
 ), r AS (
-  SELECT n.conv_id, speaker, segment, (rn - 1) // 512 AS part, rn, role = speaker AS own, text AS body,
+  SELECT n.conv_id, speaker, (rn - 1) // 1000 AS part, rn, role = speaker AS own, text AS body,
          '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
                                 WHEN role <> '' THEN 'user name=' || role ELSE 'user' END || chr(10) AS head
   FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id
 ), o AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 11) OVER (
-              PARTITION BY conv_id, speaker, segment, part ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
+              PARTITION BY conv_id, speaker, part ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
   FROM r
 )
-SELECT conv_id, speaker, segment, part::BIGINT AS part, count(*)::BIGINT AS n_turns,
+SELECT conv_id, speaker, part::BIGINT AS part, count(*)::BIGINT AS n_turns,
        string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY rn) AS text,
        coalesce(string_agg(CASE WHEN own THEN (begins + length(head)) || '-' || (begins + length(head) + length(body) + 10) END, ',' ORDER BY rn), '') AS mask
-FROM o GROUP BY conv_id, speaker, segment, part
+FROM o GROUP BY conv_id, speaker, part
 """
 
 
