@@ -8,13 +8,16 @@ from it than nearly all of its own training texts; ``rejected`` tells so, with
 the nearest language still named.
 
 Scale: document frequencies cover all training rows and are summed per n-gram;
-centroids are fitted on at most ``SAMPLE`` texts, those with the least hash of
-their id within each language.  Prediction scans documents once, without a
-shuffle, and broadcasts only the centroids, whose number and size are fixed.
+centroids are fitted on about ``SAMPLE`` texts, those with the least hash of
+their id and text within each language, and at least 50 or all of each.  Every
+language is learned.  Prediction scans documents once, without a shuffle, and
+broadcasts only the centroids: ``CENTROIDS`` vectors of fixed size for each
+language.
 
 Cases: null texts and texts without a letter are ``und`` with score 0.  Rows
-with a null id or language are predicted and never learned from.  Without
-training rows everything is ``und``.  Other columns pass through.
+with a null id or language are predicted and never learned from; repeated rows
+are clustered once.  Without training rows everything is ``und``.  Other columns
+pass through; those named lang_pred, score and rejected are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +37,6 @@ from lexiloom.llm.learning import fold
 BUCKETS = 4096
 #: At most so many texts are clustered; languages share them evenly.
 SAMPLE = 4_000
-#: At most so many languages are learned, the most frequent ones.
-LANGUAGES = 200
 CENTROIDS = 3
 FOLDS = 3
 HELD_OUT = 1
@@ -69,10 +71,10 @@ class Model:
     languages: list[str]  # of each centroid
     radius: np.ndarray  # least cosine each accepts
 
-    def predict(self, texts: pd.Series) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         names, scores, rejected = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
         for i in range(0, len(texts), 256):
-            part = texts.iloc[i : i + 256]
+            part = texts[i : i + 256]
             cosines = vectors(np.stack([grams(t) for t in part]), self.idf) @ self.centroids.T
             best = cosines.argmax(axis=1)
             top = cosines[np.arange(len(part)), best]
@@ -117,14 +119,17 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, n: int = SAMPLE, k: int = CENTROIDS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model | None:
     """Learned from text and non-null lang of the rows whose fold isn't ``held_out``."""
     rows = docs.filter((fold("doc_id", folds) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    seen = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()
+    sizes = {r.lang: r.n for r in seen}
     if not sizes:
         return None
     each = max(50, n // len(sizes))
-    reach = F.lit(0.0)
-    for lang, size in sizes.items():
-        reach = F.when(F.col("lang") == lang, F.lit(min(1.0, each / size))).otherwise(reach)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    reach = docs.sparkSession.createDataFrame([(r.lang, max(each / r.n, r.least)) for r in seen], "lang string, reach double")
+    taken = (
+        rows.select("doc_id", "lang", "text", place.alias("place")).join(F.broadcast(reach), "lang").filter("place <= reach")
+        .groupBy("lang", "doc_id", "place").agg(F.first("text").alias("text"))
+    )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,15 +139,15 @@ def fit(docs: DataFrame, n: int = SAMPLE, k: int = CENTROIDS, folds: int = FOLDS
                 {"id": batch["doc_id"].astype(str), "lang": batch["lang"], "grams": [i.astype(np.int32) for i in kept], "counts": [x[i].astype(np.int32) for x, i in zip(found, kept)]}
             )
 
-    chosen = rows.filter(place < reach).select("doc_id", "lang", "text").mapInPandas(count, "id string, lang string, grams array<int>, counts array<int>").limit(2 * n + 50 * len(sizes))
-    sampled = sorted(chosen.collect(), key=lambda r: (r.lang, r.id))
+    chosen = taken.mapInPandas(count, "id string, lang string, grams array<int>, counts array<int>")
+    sampled: dict[str, list] = {lang: [] for lang in sizes}
+    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.id, r.grams, r.counts)):
+        sampled[r.lang].append(r)
     frequency = document_frequencies(rows)
     idf = (np.log((1 + sum(sizes.values())) / (1 + frequency)) + 0.1).astype(np.float32)
     centers, names, radius = [], [], []
     for lang in sorted(sizes):
-        own = [r for r in sampled if r.lang == lang]
-        if not own:
-            continue
+        own = sampled[lang]
         counts = np.zeros((len(own), BUCKETS), np.float32)
         for i, r in enumerate(own):
             counts[i, r.grams] = r.counts
@@ -164,12 +169,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     schema = T.StructType([*[f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected")], *added])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if shared.value is None or not len(batch):
-                batch["lang_pred"], batch["score"], batch["rejected"] = "und", 0.0, True
-            else:
-                batch["lang_pred"], batch["score"], batch["rejected"] = shared.value.predict(batch["text"])
-            yield batch[schema.names]
-
-    return docs.mapInPandas(run, schema)
+            n = batch.num_rows
+            names, scores, rejected = ["und"] * n, np.zeros(n), np.ones(n, bool)
+            if shared.value is not None and n:
+                names, scores, rejected = shared.value.predict(batch.column("text").to_pylist())
+            rest = batch.drop_columns([f.name for f in added if f.name in batch.schema.names])
+            for field, values in zip(added, (pa.array(names, pa.string()), pa.array(scores), pa.array(rejected))):
+                rest = rest.append_column(field.name, values)
+            yield rest
+
+    return docs.mapInArrow(run, schema)

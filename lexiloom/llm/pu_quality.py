@@ -4,7 +4,10 @@ Trusted positives are documents labelled good; everything else is unlabelled
 web text.  The class prior is estimated by the best-bin rule: a first model
 tells positives from unlabelled text, and in the bin of highest scores in which
 the unlabelled share is smallest against the positives', that ratio bounds the
-prior.  The final model minimises the non-negative unbiased risk with it: the
+prior.  The rule is applied to held-out scores of ``SPLITS`` random halvings;
+the median less its standard error is taken, since a prior too large makes the
+final model call everything good, and one too small does little harm.  The
+final model minimises the non-negative unbiased risk with it: the
 risk of the positives, plus the larger of zero and the unlabelled text's
 negative risk less the positives' part of it.
 
@@ -20,7 +23,8 @@ bounded.
 Cases: null and empty texts have features too and get a score.  Without
 positives or without unlabelled rows every score is 0.5.  Rows with a null id
 are scored and never learned from.  Labels of unknown ids and repeated labels
-do no harm.  Other columns pass through.
+do no harm.  Other columns pass through; those named score and predicted are
+replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +49,9 @@ SAMPLE = 8_000
 BINS = 12
 FOLDS = 5
 CUT = 0.3
+#: Random halvings for the prior.
+SPLITS = 5
+RIDGE = 1e-3
 
 FEATURES = (
     "log_words", "word_length", "upper", "digits", "symbols", "marks", "shout_words", "marked_words", "distinct_words",
@@ -101,18 +109,33 @@ def _indicators(measured: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return (measured[:, :, None] > edges[None, :, :]).reshape(len(measured), -1).astype(np.float32)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
-    """Share of positives among the unlabelled, from held-out scores of a positive-unlabelled model."""
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> tuple[float, float]:
+    """Share of positives among the unlabelled, from held-out scores of a positive-unlabelled model; and its standard error."""
     cuts = np.unique(np.concatenate([positive, unlabelled]))
     above = lambda scores: 1 - np.searchsorted(np.sort(scores), cuts) / len(scores)
     p, u = above(positive), above(unlabelled)
     slack = np.sqrt(np.log(4 / doubt) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
-    enough = p > 0.05
-    best = np.argmin(np.where(enough, (u + slack) / np.maximum(p, 1e-9), np.inf))
-    return float(np.clip(u[best] / p[best], 0.02, 0.98))
-
-
-def fit_non_negative(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> np.ndarray:
+    best = np.argmin(np.where(p > 0.05, (u + slack) / np.maximum(p, 1e-9), np.inf))
+    p, u = max(float(p[best]), 1e-9), max(float(u[best]), 1e-9)
+    return u / p, u / p * float(np.sqrt((1 - u) / (u * len(unlabelled)) + (1 - p) / (p * len(positive))))
+
+
+def prior_of(x: np.ndarray, positive: np.ndarray, splits: int = SPLITS) -> float:
+    """The median estimate over random halvings, less its standard error."""
+    found = []
+    for k in range(splits):
+        half = np.random.default_rng(k).permutation(len(x)) % 2 == 0
+        scores = np.zeros(len(x))
+        for part in (half, ~half):
+            if positive[part].any() and not positive[part].all():
+                w = fit_logistic(x[part], positive[part].astype(np.float32), ridge=2.0, steps=120)
+                scores[~part] = sigmoid(x[~part] @ w[:-1] + w[-1])
+        found.append(estimate_prior(scores[positive], scores[~positive]))
+    share, error = sorted(found)[len(found) // 2]
+    return float(np.clip(share - error, 0.02, 0.98))
+
+
+def fit_non_negative(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = RIDGE) -> np.ndarray:
     """Weights (the last for a constant) that minimise the non-negative risk with the logistic loss."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     p, u = x[positive], x[~positive]
@@ -159,13 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE, folds: int = FOLDS)
     measured = np.array([r.x for r in rows], np.float32)
     edges = _edges(measured)
     x = _indicators(measured, edges)
-    half = np.arange(len(x)) % 2 == 0
-    scores = np.zeros(len(x))
-    for part in (half, ~half):
-        if positive[part].any() and not positive[part].all():
-            w = fit_logistic(x[part], positive[part].astype(np.float32), ridge=2.0)
-            scores[~part] = sigmoid(x[~part] @ w[:-1] + w[-1])
-    prior = estimate_prior(scores[positive], scores[~positive])
+    prior = prior_of(x, positive)
     return Model(edges, fit_non_negative(x, positive, prior), prior)
 
 
@@ -177,14 +194,13 @@ def score(docs: DataFrame, model: Model | None, cut: float = CUT) -> DataFrame:
          T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value
-            if found is None or not len(batch):
-                batch["score"] = 0.5
-            else:
-                batch["score"] = found.score(np.stack([features(t) for t in batch["text"]])).astype(np.float64)
-            batch["predicted"] = (batch["score"] >= cut).astype("int32")
-            yield batch[schema.names]
-
-    return docs.mapInPandas(run, schema)
+            scores = np.full(batch.num_rows, 0.5)
+            if found is not None and batch.num_rows:
+                scores = found.score(np.stack([features(t.as_py()) for t in batch.column("text")])).astype(np.float64)
+            rest = batch.drop_columns([x for x in ("score", "predicted") if x in batch.schema.names])
+            yield rest.append_column("score", pa.array(scores)).append_column("predicted", pa.array((scores >= cut).astype(np.int32)))
+
+    return docs.mapInArrow(run, schema)

@@ -189,7 +189,8 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold("doc_id", toxicity.HOLD_OUT_FOLDS) == 0, F.lit(False))
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).withColumn("held_out", held_out)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
