@@ -20,10 +20,13 @@ from lexiloom.plans.rows import window_of, window_row
 from lexiloom.schema import FIELDS, window_schema
 
 
-def _tests(t: Test) -> Iterator[Test]:
+def _tests(t: Test, g: Grammar, opened: frozenset[str] = frozenset()) -> Iterator[Test]:
+    """A test with its alternatives, its links, and the templates it names at any depth."""
     yield t
     for x in (*t.ors, *([t.link] if t.link else [])):
-        yield from _tests(x)
+        yield from _tests(x, g, opened)
+    if t.template and t.template in g.templates and t.template not in opened:
+        yield from _tests(g.templates[t.template], g, opened | {t.template})
 
 
 def _sets(s: TagSet | None, g: Grammar, seen: set[str]) -> Iterator[TagSet]:
@@ -46,8 +49,7 @@ def couples_windows(g: Grammar, options: Options) -> bool:
     def rule_couples(r: Rule) -> bool:
         if r.kind in ("SETVARIABLE", "REMVARIABLE", "DELIMIT", "COPYCOHORT", "EXTERNAL") or "RELATION" in r.kind:
             return True
-        tests = [x for t in (*r.tests, *r.dep_tests) for x in _tests(t)]
-        tests += [x for name in {t.template for t in tests if t.template} for x in _tests(g.templates[name])]
+        tests = [x for t in (*r.tests, *r.dep_tests) for x in _tests(t, g)]
         if any(t.has("span", "span_left", "span_right") or t.relation for t in tests):
             return True
         sets = [r.target, r.maplist, r.sublist, *(s for t in tests for s in (t.target, t.barrier, t.cbarrier))]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.plans import columns
-from lexiloom.plans.grammar import parse
+from lexiloom.plans.grammar import Grammar, parse
 from lexiloom.sources import documents
 from lexiloom.storage import table
 
@@ -91,11 +91,17 @@ def rules(grammar: str) -> Query:
     return lambda spark, sf_dir: show(columns.apply_columns(windows(spark, sf_dir), grammar))
 
 
-def places(found: DataFrame, good: Callable[[Column, Column], Column]) -> DataFrame:
-    """Windows with the places (from 1) at which ``good(place from 0, cohorts)`` holds."""
-    hits = columns.let(F.col("cohorts"), lambda c: F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: good(i, c)))
-    shown = found.select("doc_id", "win", "part", F.array_join(F.transform(hits, lambda i: (i + 1).cast("string")), ",").alias("hits"))
-    return shown.filter("hits != ''")
+def shown_if(found: DataFrame, name: str, value: Column, condition: str) -> DataFrame:
+    """doc_id, win, part and ``value`` where ``condition`` holds; through a one-element explode, so that the filter doesn't compute it anew."""
+    return found.select("doc_id", "win", "part", F.explode(F.array(value)).alias(name)).filter(condition)
+
+
+def places(found: DataFrame, good: Callable[[Column, Column, columns.View], Column], tests: tuple = (), g: Grammar | None = None) -> DataFrame:
+    """Windows with the places (from 1) at which ``good(place from 0, cohorts, view for the tests)`` holds."""
+    hits = columns.let(
+        F.col("cohorts"), lambda c: columns.seen(tests, g, c, lambda view: F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: good(i, c, view)))
+    )
+    return shown_if(found, "hits", F.array_join(F.transform(hits, lambda i: (i + 1).cast("string")), ","), "hits != ''")
 
 
 def context(test: str, definitions: str = "") -> Query:
@@ -104,15 +110,14 @@ def context(test: str, definitions: str = "") -> Query:
     tests = g.rules()[0].tests
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        def good(i: Column, c: Column) -> Column:
-            view = lambda j: F.get(c, j)
+        def good(i: Column, c: Column, view: columns.View) -> Column:
             found = [columns.test(t, g, i, F.size(c), view).isNotNull() for t in tests]
             out = found[0]
             for x in found[1:]:
                 out = out & x
             return out
 
-        return places(windows(spark, sf_dir), good)
+        return places(windows(spark, sf_dir), good, tests, g)
 
     return run
 
@@ -121,7 +126,7 @@ def matching(set_expression: str, definitions: str = "") -> Query:
     """Places whose cohort has a reading in a set."""
     g = parse(f"{definitions} SELECT {set_expression};")
     target = g.rules()[0].target
-    return lambda spark, sf_dir: places(windows(spark, sf_dir), lambda i, c: columns.cohort_matches(target, g, F.get(c, i)))
+    return lambda spark, sf_dir: places(windows(spark, sf_dir), lambda i, c, _: columns.cohort_matches(target, g, F.get(c, i)))
 
 
 QUERIES: dict[str, Query] = {}

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lexiloom.functions.numeric import formula, matches
 from lexiloom.functions.varstring import expand_column
 from lexiloom.operators.apply import apply_grammar
-from lexiloom.operators.catalog import SQL_TOKENS, SQL_WINDOWS, Query, has, windows
+from lexiloom.operators.catalog import SQL_TOKENS, SQL_WINDOWS, Query, has, shown_if, windows
 from lexiloom.plans.columns import let
 from lexiloom.sources import documents
+from lexiloom.sources.codecs import SNIFF
 from lexiloom.storage import table
 
 QUERIES: dict[str, Query] = {}
@@ -44,7 +45,7 @@ def _hits(found: DataFrame, good) -> DataFrame:
     """Places of the nodes for which ``good(node, all nodes)`` holds."""
     hit = let(F.col("t"), lambda t: F.filter(t, lambda x: good(x, t)))
     shown = F.array_join(F.transform(hit, lambda x: x["pos"].cast("string")), ",")
-    return found.select("doc_id", "win", "part", shown.alias("hits")).filter("hits != ''")
+    return shown_if(found, "hits", shown, "hits != ''")
 
 
 SQL_TREE = f"WITH {SQL_TOKENS}, t1 AS (SELECT doc_id, win, part, pos, (pos // 2)::INT AS parent, {has('N')} AS noun, {has('V')} AS verb FROM tok)"
@@ -117,7 +118,7 @@ def dep_crossing(spark, sf_dir):
     arcs = F.filter(ends, lambda a: a["long"])
     crossed = lambda a, b: (a["low"] < b["low"]) & (b["low"] < a["high"]) & (a["high"] < b["high"])
     count = let(arcs, lambda t: F.aggregate(t, F.lit(0), lambda n, a: n + F.size(F.filter(t, lambda b: crossed(a, b)))))
-    return found.select("doc_id", "win", "part", count.alias("crossings")).filter("crossings > 0")
+    return shown_if(found, "crossings", count, "crossings > 0")
 
 
 @query(f"""WITH {SQL_TOKENS}, x AS (SELECT *, max(CASE WHEN {has('V')} THEN pos END) OVER (PARTITION BY doc_id, win, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head FROM tok)
@@ -129,7 +130,7 @@ def setparent_nearest(spark, sf_dir):
         pairs = F.transform(F.filter(t, lambda x: x["noun"]), lambda x: let(verb(x), lambda v: F.when(v.isNotNull(), F.concat_ws(">", x["pos"].cast("string"), v.cast("string")))))
         return F.array_join(F.array_compact(pairs), ",")
 
-    return tree(spark, sf_dir).select("doc_id", "win", "part", let(F.col("t"), arcs).alias("arcs")).filter("arcs != ''")
+    return shown_if(tree(spark, sf_dir), "arcs", let(F.col("t"), arcs), "arcs != ''")
 
 
 # --- relations: an order is related to its suppliers --------------------------------------------
@@ -332,7 +333,7 @@ SELECT doc_id, win, part, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS hits FRO
 WHERE nx IS NOT NULL AND len(list_filter(rds, lambda r: list_contains(r, 'N') AND len(list_filter(nx, lambda q: list_contains(q, 'N') AND list_contains(q, r[2]))) > 0)) > 0 GROUP BY ALL""")
 def unify_tags(spark, sf_dir):
     """$$NUM + (N) IF (1 $$NUM + (N)): neighbours that agree in number."""
-    def good(i: Column, c: Column) -> Column:
+    def good(i: Column, c: Column, _) -> Column:
         here, there = F.get(c, i)["rds"], F.get(c, i + 1)["rds"]
         agree = lambda n: F.exists(here, lambda r: F.array_contains(r, "N") & F.array_contains(r, n)) & F.exists(there, lambda r: F.array_contains(r, "N") & F.array_contains(r, n))
         return F.coalesce(agree("SG") | agree("PL"), F.lit(False))
@@ -348,18 +349,14 @@ def varstring(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", expand_column("$1-%U$2.", F.coalesce("text", F.lit("")), "^([A-Za-z])([a-z]+)").alias("form"))
 
 
-# How the head of a stream gives away its format, in the order they are tried.
-FORMATS = [("cg", r'(?m)^"<[^>]+>"'), ("apertium", r"\^[^/^$]+/[^$]+\$"), ("jsonl", r'(?m)^\s*\{"'), ("html", r"(?i)<(!doctype|html)"), ("niceline", r"(?m)^[^\t\n]+\t\["), ("fst", r"(?m)^[^\t\n]+\t[^\t\n]+\+")]
-
-
 def format_of(text: Column) -> Column:
     out = F.lit("plain")
-    for name, pattern in reversed(FORMATS):
+    for name, pattern in reversed(SNIFF):
         out = F.when(F.substring(text, 1, 1000).rlike(pattern), name).otherwise(out)
     return out
 
 
-@query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(substr(html, 1, 1000), '{p}') THEN '{n}'" for n, p in FORMATS) + " ELSE 'plain' END AS format FROM pages")
+@query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(substr(html, 1, 1000), '{p}') THEN '{n}'" for n, p in SNIFF) + " ELSE 'plain' END AS format FROM pages")
 def html_format_detect(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", format_of(F.col("html")).alias("format"))
 
@@ -398,22 +395,75 @@ def dialogue_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.full_windows(turns.select("doc_id", F.lit(0).alias("win"), F.lit(0).alias("part"), small.alias("cohorts")))
 
 
-def kernel(name: str, grammar: str, sql: str) -> None:
+def kernel(name: str, grammar: str, sql: str, label: str = "'t' || turn", group: str = "doc_id") -> None:
+    """A query that runs ``grammar`` on whole conversations; ``sql`` gives doc_id, pos, turn and tags of the tokens from ``x``."""
     def run(spark, sf_dir):
         done = apply_grammar(dialogue_windows(spark, sf_dir), grammar)
         shown = lambda c: F.array_join(F.transform(c["readings"], lambda r: F.array_join(F.concat(F.slice(r["tags"], 2, 9), F.array_compact(F.array(r["mapping"]))), " ")), "|")
         live = F.filter("cohorts", lambda c: ~c["removed"])
-        arcs = F.transform(live, lambda c: F.concat(c["wordform"].substr(F.lit(3), F.length(c["wordform"]) - 4), F.lit(":"), shown(c), F.when(c["dep_parent"].isNotNull(), F.concat(F.lit("#"), c["dep_parent"].cast("string"))).otherwise("")))
+        parent = lambda c: F.when(c["dep_parent"].isNotNull(), F.concat(F.lit("#"), c["dep_parent"].cast("string"))).otherwise("")
+        target = lambda e: F.concat(F.lit("~"), e["key"], F.lit(">"), F.array_join(F.transform(e["value"], lambda x: x.cast("string")), "+"))
+        related = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c["relations"])), target), "")
+        arcs = F.transform(live, lambda c: F.concat(c["wordform"].substr(F.lit(3), F.length(c["wordform"]) - 4), F.lit(":"), shown(c), parent(c), related(c)))
         return done.select("doc_id", F.array_join(arcs, " ").alias("tokens"))
 
     QUERIES[name], SQL[name] = run, f"""WITH c AS (SELECT conv_id AS doc_id, turn, role, CASE WHEN length(text) > 200 THEN 'LONG' ELSE 'SHORT' END AS size,
  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text)) AS pos FROM conversations),
 x AS (SELECT *, lag(role) OVER w AS p, lead(role) OVER w AS q, count(*) OVER (PARTITION BY doc_id) AS n FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 y AS ({sql})
-SELECT doc_id, string_agg('t' || turn || ':' || tags, ' ' ORDER BY pos) AS tokens FROM y GROUP BY doc_id"""
+SELECT doc_id, string_agg({label} || ':' || tags, ' ' ORDER BY pos) AS tokens FROM y GROUP BY {group}"""
 
 
 kernel("kernel_select", "SELECT (assistant) IF (-1 (user));", "SELECT *, CASE WHEN role = 'assistant' AND p = 'user' THEN role ELSE role || '|' || size END AS tags FROM x")
 kernel("kernel_map", "MAP (@Q) (user) IF (1 (assistant)); MAP (@A) (assistant) IF (-1 (@Q));", "SELECT *, CASE WHEN role = 'user' AND q = 'assistant' THEN role || ' @Q' WHEN role = 'assistant' AND p = 'user' THEN role || ' @A' ELSE role END || '|' || size AS tags FROM x")
 kernel("kernel_setparent", "SETPARENT (assistant) TO (-1* (user));", "SELECT *, role || '|' || size || CASE WHEN role = 'assistant' AND u IS NOT NULL THEN '#' || u ELSE '' END AS tags FROM (SELECT *, max(CASE WHEN role = 'user' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM x)")
 kernel("kernel_remcohort", "REMCOHORT (system);", "SELECT *, role || '|' || size AS tags FROM x WHERE role <> 'system'")
+
+# One query for each kind of rule and dependency test.  A token shows its readings, its parent after # and its relations after ~.
+_ALL = "role || '|' || size"
+_U = f"u AS (SELECT *, max(CASE WHEN role = 'user' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM x)"
+_HUNG = "CASE WHEN role = 'assistant' AND u IS NOT NULL THEN '#' || u ELSE '' END"
+_HANG = "SETPARENT (assistant) TO (-1* (user));"
+_ASKED, _ANSWER = "role = 'user' AND coalesce(q, '') = 'assistant'", "role = 'assistant' AND coalesce(p, '') = 'user'"
+
+
+def _if(condition: str, then: str, otherwise: str = _ALL) -> str:
+    return f"SELECT *, CASE WHEN {condition} THEN {then} ELSE {otherwise} END AS tags FROM x"
+
+
+kernel("kernel_remparent", f"BEFORE-SECTIONS {_HANG} REMPARENT (LONG);", f"WITH {_U} SELECT *, {_ALL} || CASE WHEN size = 'SHORT' THEN {_HUNG} ELSE '' END AS tags FROM u")
+kernel("kernel_dep_parent", f"{_HANG} MAP (@P) (assistant) IF (p (LONG));", f"WITH {_U} SELECT a.*, a.role || CASE WHEN a.role = 'assistant' AND b.size = 'LONG' THEN ' @P' ELSE '' END || '|' || a.size || {_HUNG.replace('role', 'a.role')} AS tags FROM u a LEFT JOIN x b ON b.doc_id = a.doc_id AND b.pos = a.u")
+kernel("kernel_dep_child", f"{_HANG} MAP (@C) (user) IF (c (LONG));", f"WITH {_U} SELECT a.*, role || CASE WHEN role = 'user' AND EXISTS (SELECT 1 FROM u b WHERE b.doc_id = a.doc_id AND b.role = 'assistant' AND b.u = a.pos AND b.size = 'LONG') THEN ' @C' ELSE '' END || '|' || size || {_HUNG} AS tags FROM u a")
+kernel("kernel_dep_sibling", "SETPARENT (*) TO (@1 (*)); MAP (@S) (user) IF (s (LONG));", "SELECT a.*, role || CASE WHEN role = 'user' AND pos > 1 AND EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b.pos > 1 AND b.pos <> a.pos AND b.size = 'LONG') THEN ' @S' ELSE '' END || '|' || size || CASE WHEN pos > 1 THEN '#1' ELSE '' END AS tags FROM x a")
+_CHAIN = "SETPARENT (*) TO (-1 (*));"  # each token hangs on the one before, the first on the window's begin
+kernel("kernel_dep_ancestor", f"{_CHAIN} MAP (@U) (user) IF (pp (system));", "SELECT a.*, role || CASE WHEN role = 'user' AND EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND b.role = 'system') THEN ' @U' ELSE '' END || '|' || size || '#' || (pos - 1) AS tags FROM x a")
+kernel("kernel_dep_descendant", f"{_CHAIN} MAP (@D) (user) IF (cc (SHORT));", "SELECT a.*, role || CASE WHEN role = 'user' AND EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b.pos > a.pos AND b.size = 'SHORT') THEN ' @D' ELSE '' END || '|' || size || '#' || (pos - 1) AS tags FROM x a")
+kernel("kernel_setchild", "SETCHILD (user) TO (1 (assistant));", f"SELECT *, {_ALL} || CASE WHEN {_ANSWER} THEN '#' || (pos - 1) ELSE '' END AS tags FROM x")
+kernel("kernel_switchparent", "BEFORE-SECTIONS SETPARENT (assistant) TO (-1 (user)); SWITCHPARENT (assistant) IF (0 (LONG));", f"SELECT *, {_ALL} || CASE WHEN {_ANSWER} AND size = 'SHORT' THEN '#' || (pos - 1) WHEN {_ASKED} AND s = 'LONG' THEN '#' || (pos + 1) ELSE '' END AS tags FROM (SELECT *, lead(size) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM x)")
+kernel("kernel_addrelation", "ADDRELATION (k) (user) TO (1 (assistant));", f"SELECT *, {_ALL} || CASE WHEN {_ASKED} THEN '~k>' || (pos + 1) ELSE '' END AS tags FROM x")
+kernel("kernel_addrelations", "ADDRELATIONS (a) (b) (user) TO (1 (assistant));", f"SELECT *, {_ALL} || CASE WHEN {_ASKED} THEN '~a>' || (pos + 1) WHEN {_ANSWER} THEN '~b>' || (pos - 1) ELSE '' END AS tags FROM x")
+kernel("kernel_remrelation", "BEFORE-SECTIONS ADDRELATION (k) (user) TO (1 (assistant)); REMRELATION (k) (LONG) TO (1 (assistant));", f"SELECT *, {_ALL} || CASE WHEN {_ASKED} AND size = 'SHORT' THEN '~k>' || (pos + 1) ELSE '' END AS tags FROM x")
+kernel("kernel_setrelation", "BEFORE-SECTIONS ADDRELATION (k) (user) TO (1 (assistant)); SETRELATION (k) (user) TO (-1 (assistant));", f"SELECT *, {_ALL} || CASE WHEN role = 'user' AND p = 'assistant' THEN '~k>' || (pos - 1) WHEN {_ASKED} THEN '~k>' || (pos + 1) ELSE '' END AS tags FROM x")
+kernel("kernel_relation_test", "ADDRELATION (k) (user) TO (1 (assistant)); MAP (@R) (user) IF (r:k (LONG));", f"SELECT *, role || CASE WHEN {_ASKED} AND s = 'LONG' THEN ' @R' ELSE '' END || '|' || size || CASE WHEN {_ASKED} THEN '~k>' || (pos + 1) ELSE '' END AS tags FROM (SELECT *, lead(size) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM x)")
+_LABELLED = f"SELECT doc_id, pos, 't' || turn AS label, {_ALL} AS tags FROM x"
+kernel("kernel_addcohort_before", 'ADDCOHORT ("<new>" "new" X) BEFORE (assistant) IF (-1 (user));', f"{_LABELLED} UNION ALL SELECT doc_id, pos - 0.5, 'new', 'X' FROM x WHERE {_ANSWER}", "label")
+kernel("kernel_addcohort_after", 'ADDCOHORT ("<new>" "new" X) AFTER (user);', f"{_LABELLED} UNION ALL SELECT doc_id, pos + 0.5, 'new', 'X' FROM x WHERE role = 'user'", "label")
+kernel("kernel_copycohort", "COPYCOHORT (C) (user) AFTER (1 (assistant));", f"{_LABELLED} UNION ALL SELECT doc_id, pos + 1.5, 't' || turn, role || ' C|' || size || ' C#' || (pos + 1) FROM x WHERE {_ASKED}", "label")
+kernel("kernel_splitcohort", 'SPLITCOHORT ("<a>" "a" A "<b>" "b" B) (system);', f"{_LABELLED} WHERE role <> 'system' UNION ALL SELECT doc_id, pos, 'a', 'A' FROM x WHERE role = 'system' UNION ALL SELECT doc_id, pos + 0.5, 'b', 'B#' || (n + 1) FROM x WHERE role = 'system'", "label")
+kernel("kernel_mergecohorts", 'MERGECOHORTS ("<m>" "m" M) (user) WITH (1 (assistant));', f"SELECT doc_id, pos, CASE WHEN {_ASKED} THEN 'm' ELSE 't' || turn END AS label, CASE WHEN {_ASKED} THEN 'M' ELSE {_ALL} END AS tags FROM x WHERE NOT ({_ANSWER})", "label")
+kernel("kernel_move", "MOVE (user) AFTER (1 (assistant));", f"SELECT doc_id, turn, {_ALL} AS tags, row_number() OVER (PARTITION BY doc_id ORDER BY part, role <> 'system', role <> 'assistant', pos) AS pos FROM (SELECT *, count(*) FILTER (role = 'system') OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM x)")
+kernel("kernel_switch", "BEFORE-SECTIONS SWITCH (user) WITH (1 (assistant));", f"SELECT doc_id, turn, {_ALL} AS tags, CASE WHEN {_ASKED} THEN pos + 1 WHEN {_ANSWER} THEN pos - 1 ELSE pos END AS pos FROM x")
+kernel("kernel_unify_tags", "LIST SIZE = LONG SHORT; SELECT $$SIZE IF (1 $$SIZE);", f"SELECT *, CASE WHEN size = s THEN size ELSE {_ALL} END AS tags FROM (SELECT *, lead(size) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM x)")
+kernel("kernel_unify_sets", "LIST A = user; LIST B = assistant; SET AB = A OR B; SELECT (LONG) OR (SHORT) IF (0 &&AB) (2 &&AB);", f"SELECT *, CASE WHEN role = r2 AND role <> 'system' THEN size ELSE {_ALL} END AS tags FROM (SELECT *, lead(role, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS r2 FROM x)")
+kernel("kernel_unmap", "BEFORE-SECTIONS MAP (@Q) (user); UNMAP UNSAFE (user) IF (1 (assistant));", "SELECT *, role || CASE WHEN role = 'user' AND coalesce(q, '') <> 'assistant' THEN ' @Q' ELSE '' END || '|' || size AS tags FROM x")
+kernel("kernel_protect", "BEFORE-SECTIONS PROTECT (user) IF (1 (assistant)); SELECT (LONG) OR (SHORT);", _if(_ASKED, _ALL, "size"))
+kernel("kernel_unprotect", "BEFORE-SECTIONS PROTECT (user); UNPROTECT (user) IF (1 (assistant)); SELECT (LONG) OR (SHORT);", _if(f"role = 'user' AND NOT ({_ASKED})", _ALL, "size"))
+kernel("kernel_variables", "SETVARIABLE (seen) (1) (system); MAP (@S) (user) IF (0 (VAR:seen));", "SELECT *, role || CASE WHEN role = 'user' AND bool_or(role = 'system') OVER (PARTITION BY doc_id) THEN ' @S' ELSE '' END || '|' || size AS tags FROM x")
+kernel("kernel_with", "WITH (user) IF (1 (assistant)) { MAP (@W) (*) ; };", _if(f"({_ASKED}) OR ({_ANSWER})", "role || ' @W|' || size || ' @W'"))
+kernel("kernel_delimit", "DELIMIT (assistant);", f"SELECT *, {_ALL} AS tags, count(*) FILTER (role = 'assistant') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seg FROM x", group="doc_id, seg")
+kernel("kernel_jump", "SECTION JUMP (over) (system); MAP (@J) (user); ANCHOR over;", "SELECT *, role || CASE WHEN role = 'user' AND NOT bool_or(role = 'system') OVER (PARTITION BY doc_id) THEN ' @J' ELSE '' END || '|' || size AS tags FROM x")
+kernel("kernel_varstring", 'ADD (VSTR:is_$1) ("<t(.+)>"r);', "SELECT *, role || ' is_' || turn || '|' || size || ' is_' || turn AS tags FROM x")
+kernel("kernel_noiterate", "SECTION MAP NOITERATE (@N) (user) IF (1 (assistant));", _if(_ASKED, "role || ' @N|' || size"))
+kernel("kernel_before_sections", "BEFORE-SECTIONS SELECT (user) IF (-1** (system)); SECTION MAP (@F) (user) IF (0C (user));", "SELECT *, CASE WHEN role = 'user' AND bool_or(role = 'system') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN role || ' @F' ELSE role || '|' || size END AS tags FROM x")
+kernel("kernel_scan_link", "MAP (@A) (assistant) IF (-1** (user) LINK 1 (assistant) LINK 0 (LONG));", "SELECT *, role || CASE WHEN role = 'assistant' AND bool_or(role = 'user' AND q = 'assistant' AND s = 'LONG') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN ' @A' ELSE '' END || '|' || size AS tags FROM (SELECT *, lead(size) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM x)")
+kernel("kernel_remcohort_test", "BEFORE-SECTIONS REMCOHORT (user) IF (1 (LONG));", f"SELECT *, {_ALL} AS tags FROM (SELECT *, lead(size) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM x) WHERE NOT (role = 'user' AND coalesce(s, '') = 'LONG')")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.numeric import matches
 from lexiloom.plans.grammar import Grammar, Rule, Tag, TagSet, Test, parse
 from lexiloom.plans.kernel import MAX_PASSES
+from lexiloom.sources.documents import let
 
 SETTABLE = {"SELECT", "REMOVE", "IFF", "ADD", "MAP", "REPLACE", "SUBSTITUTE", "APPEND", "COPY"}
 
@@ -28,11 +29,53 @@ class NotSetBased(ValueError):
     """The plan needs the kernel."""
 
 
-View = Callable[[Column], Column]  # place (from 0) -> cohort, NULL outside
+class View:
+    """What tests see: a cohort by its place (from 0, NULL outside), and sets matched once per cohort.
+
+    ``known`` has, by set and carefulness, a Column of booleans by place; ``bag`` all tags of the window.
+    """
+
+    def __init__(self, at: Callable[[Column], Column], known: Callable[[TagSet, bool, Column], Column | None] = lambda *_: None, bag: Column | None = None) -> None:
+        self.at, self.known, self.bag = at, known, bag
+
+    def matches(self, s: TagSet, g: Grammar, j: Column, careful: bool = False) -> Column:
+        found = self.known(s, careful, j)
+        return cohort_matches(s, g, self.at(j), careful) if found is None else F.coalesce(found, F.lit(False))
+
+
+def _within(tests: list[Test] | tuple[Test, ...], g: Grammar) -> list[Test]:
+    """The tests and all that hang on them."""
+    found = []
+    for t in tests:
+        inner = [*t.ors, *([t.link] if t.link else []), *([g.templates[t.template]] if t.template else [])]
+        found += [t, *_within(inner, g)]
+    return found
+
+
+def matched_sets(tests: list[Test] | tuple[Test, ...], g: Grammar) -> list[tuple[TagSet, bool]]:
+    """Each set that the tests match with cohorts, and whether carefully."""
+    found: list[tuple[TagSet, bool]] = []
+    for t in _within(tests, g):
+        for s, careful in ((None if t.has("bag") else t.target, t.has("careful")), (t.barrier, False), (t.cbarrier, True)):
+            if s is not None and (s, careful) not in found:
+                found.append((s, careful))
+    return found
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def seen(tests: list[Test] | tuple[Test, ...], g: Grammar, all_of: Column, body: Callable[[View], Column]) -> Column:
+    """``body`` with a view of unchanging cohorts: each set of the tests matched once per cohort, the bag built once."""
+    pairs = matched_sets(tests, g)
+    get = lambda j: F.get(all_of, j)
+
+    def bind(known: list[Column], bag: Column | None) -> Column:
+        if len(known) < len(pairs):
+            s, careful = pairs[len(known)]
+            return let(F.transform(all_of, lambda c: cohort_matches(s, g, c, careful)), lambda x: bind([*known, x], bag))
+        return body(View(get, lambda s, careful, j: F.get(known[pairs.index((s, careful))], j) if (s, careful) in pairs else None, bag))
+
+    if any(t.has("bag") for t in _within(tests, g)):
+        return let(F.flatten(F.flatten(F.transform(all_of, lambda c: c["rds"]))), lambda bag: bind([], bag))
+    return bind([], None)
 
 
 # --- sets -------------------------------------------------------------------------------------
@@ -132,9 +175,11 @@ def test(t: Test, g: Grammar, i: Column, size: Column, view: View) -> Column:
     unknown = t.flags - {"NOT", "NONE", "ALL", "careful", "scan", "scan_all", "absolute", "self", "nobarrier", "bag"}
     if unknown or t.relation or t.sub or t.jump:
         raise NotSetBased(f"position {sorted(unknown)}")
-    good_at = lambda j: cohort_matches(t.target, g, view(j), t.has("careful")) if t.target else F.lit(True)
+    good_at = lambda j: view.matches(t.target, g, j, t.has("careful")) if t.target else F.lit(True)
     if t.has("bag"):
-        every = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.flatten(view(j)["rds"])))
+        every = view.bag
+        if every is None:
+            every = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.flatten(view.at(j)["rds"])))
         hit = F.coalesce(tag_set(t.target, g, every, F.lit("")), F.lit(False))
         return _link(t, g, F.when(~hit if t.has("NOT", "NONE") else hit, i), size, view)
     if t.has("absolute"):
@@ -162,9 +207,9 @@ def test(t: Test, g: Grammar, i: Column, size: Column, view: View) -> Column:
     def blocks(j: Column) -> Column:
         bars = []
         if t.barrier is not None:
-            bars.append(cohort_matches(t.barrier, g, view(j)))
+            bars.append(view.matches(t.barrier, g, j))
         if t.cbarrier is not None:
-            bars.append(cohort_matches(t.cbarrier, g, view(j), True))
+            bars.append(view.matches(t.cbarrier, g, j, True))
         bar = _any(bars)
         return bar & (j != i) if t.has("nobarrier") else bar
 
@@ -299,34 +344,34 @@ def run_rule(rule: Rule, g: Grammar, cohorts: Column) -> Column:
     if rule.kind not in SETTABLE or rule.sub or rule.flags - {"SAFE", "UNSAFE", "ITERATE", "NOITERATE"} or rule.nested or rule.dep_tests or rule.place:
         raise NotSetBased(rule.kind)
 
-    def changed(c: Column, i: Column, size: Column, view: View) -> Column:
+    def hit_of(c: Column) -> Callable[[Column], Column]:
         target = lambda r: F.coalesce(tag_set(rule.target, g, r, c["wf"]), F.lit(False))
-        if rule.wordform is not None:
-            shape = tag(rule.wordform, F.array().cast("array<string>"), c["wf"])
-            hit = lambda r: target(r) & shape
-        else:
-            hit = target
+        if rule.wordform is None:
+            return target
+        shape = tag(rule.wordform, F.array().cast("array<string>"), c["wf"])
+        return lambda r: shape & target(r)
+
+    def possible_at(c: Column) -> Column:
+        """Whether the rule, its tests aside, can change the cohort."""
+        some = F.exists(c["rds"], hit_of(c))
+        return (F.size(c["rds"]) > 1) & some if rule.kind in ("SELECT", "REMOVE", "IFF") and "UNSAFE" not in rule.flags else some
+
+    def changed(c: Column, i: Column, size: Column, view: View) -> Column:
         goods = [test(t, g, i, size, view).isNotNull() for t in rule.tests]
         allowed = F.coalesce(_all(goods), F.lit(False)) if goods else F.lit(True)
-        possible = F.exists(c["rds"], hit)
-        if rule.kind in ("SELECT", "REMOVE", "IFF") and "UNSAFE" not in rule.flags:
-            possible = possible & (F.size(c["rds"]) > 1)
-        new = F.struct(c["wf"].alias("wf"), edit(rule, g, c, allowed, hit).alias("rds"))
-        return F.when(possible, new).otherwise(c)
+        new = F.struct(c["wf"].alias("wf"), edit(rule, g, c, allowed, hit_of(c)).alias("rds"))
+        return F.when(possible_at(c), new).otherwise(c)
 
     def at_once(all_of: Column) -> Column:
-        return F.transform(all_of, lambda c, i: changed(c, i, F.size(all_of), lambda j: F.get(all_of, j)))
+        return seen(rule.tests, g, all_of, lambda view: F.transform(all_of, lambda c, i: changed(c, i, F.size(all_of), view)))
 
     def in_turn(all_of: Column) -> Column:
         def step(done: Column, c: Column) -> Column:
-            return let(
-                F.size(done),
-                lambda i: F.concat(
-                    done, F.array(changed(c, i, F.size(all_of), lambda j: F.when(j < i, F.get(done, j)).otherwise(F.get(all_of, j))))
-                ),
-            )
-
-        return F.aggregate(all_of, F.slice(all_of, F.lit(1), F.lit(0)), step)
+            at = lambda i: lambda j: F.when(j < i, F.get(done, j)).otherwise(F.get(all_of, j))
+            return let(F.size(done), lambda i: F.concat(done, F.array(changed(c, i, F.size(all_of), View(at(i))))))
+
+        # without a place where the rule can do something there is nothing to fold
+        return F.when(F.exists(all_of, possible_at), F.aggregate(all_of, F.slice(all_of, F.lit(1), F.lit(0)), step)).otherwise(all_of)
 
     # bound once: an inlined column would be computed anew for every place
     return let(cohorts, in_turn if sees_itself(rule, g) else at_once)

@@ -565,6 +565,8 @@ class Parser:
             changed[name] = self.set_expression()
         if self.maybe("LINK"):
             changed["link"] = self.test_body()
+        if "self-no-barrier" in self.grammar.options and "self" in test.flags:
+            changed["flags"] = test.flags ^ {"nobarrier"}
         found = Test(**changed)
         return self.numeric_branches(found) if found.has("numeric_branch") else found
 

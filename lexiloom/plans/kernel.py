@@ -92,6 +92,7 @@ class Window:
     flush_after: bool = False
     parens: tuple[Cohort, Cohort] | None = None
     final_enclosure: bool = False
+    called: set[int] = field(default_factory=set)  # EXTERNAL ONCE rules that were called on it
 
 
 def is_base(tag: str) -> bool:
@@ -139,6 +140,8 @@ class Options:
     no_pass_origin: bool = False
     sections: int | None = None
     rules: frozenset[str] = frozenset()
+    nrules: str = ""  # patterns of the names of rules to run, and of those to leave out
+    nrules_v: str = ""
     max_runs: int = 0
     dep_loops: bool = False
     dep_crossing: bool = True
@@ -254,6 +257,8 @@ class Applicator:
             k += 1
             if self.o.rules and rule.name not in self.o.rules and str(rule.number) not in self.o.rules:
                 continue
+            if self.o.nrules and not re.search(self.o.nrules, rule.name) or self.o.nrules_v and re.search(self.o.nrules_v, rule.name):
+                continue
             if not self.enclosure_allows(rule, w):
                 continue
             while True:
@@ -855,6 +860,10 @@ class Applicator:
         if kind == "EXTERNAL":
             if self.external is None:
                 raise ValueError("EXTERNAL needs a function for its command")
+            if rule.mode == "ONCE":
+                if rule.number in w.called:
+                    return False, ""
+                w.called.add(rule.number)
             return bool(self.external(rule.command, w)), ""
         act = getattr(self, "do_" + kind.lower().rstrip("s") if kind.endswith("RELATIONS") else "do_" + kind.lower())
         return bool(act(w, rule, c, r, ctx)), ""

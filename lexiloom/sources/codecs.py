@@ -408,9 +408,13 @@ def split_multiwords(windows: list[Window]) -> list[Window]:
 
 # What the first thousand characters of a format look like, in the order they are tried.
 SNIFF = [
-    ("cg", r'(?m)^"<[^>]+>".*?\r?\n'), ("niceline", r"(?m)^\S+ *\t *\[\S+\]"), ("apertium", r"\^[^\n^$/]+/[^\n$]+\$"), ("jsonl", r'(?m)^\s*\{\s*"'),
-    ("fst", r"(?m)^\S+\t\S+\+\S+"),
-]
+    ("cg", r'(?sm)^"<[^>]+>".*?^\s+"[^"]+"'),
+    ("niceline", r"(?sm)^\S+ *\t *\[\S+\]"),
+    ("niceline", r'(?sm)^\S+ *\t *"\S+"'),
+    ("apertium", r"(?sm)\^[^/]+(/[^<]+(<[^>]+>)+)+\$"),
+    ("fst", r"(?sm)^\S+\t\S+(\+\S+)+$"),
+    ("jsonl", r"(?m)^\{"),
+]
 FORMATS: dict[str, tuple[Callable | None, Callable]] = {
     "cg": (cg_text.parse, cg_text.format_windows), "niceline": (read_niceline, write_niceline), "plain": (read_plain, write_plain),
     "fst": (read_fst, write_fst), "apertium": (read_apertium, write_apertium), "jsonl": (read_jsonl, write_jsonl), "matxin": (None, write_matxin),

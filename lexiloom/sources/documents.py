@@ -17,23 +17,41 @@ HARD_LIMIT = 500
 
 # The words and endings of the lexicon.
 DETERMINERS = ["the", "The", "a", "la", "La", "le", "der", "die", "el"]
-VERB, NOUN, PLURAL, ADJECTIVE = "(ed|en|er|ing)[.,]?$", "(tion|nt|st|ou|in|at)[.,]?$", "s[.,]?$", "(ly|ble|le|al)[.,]?$"
+VERB_ENDS, NOUN_ENDS, PLURAL_ENDS, ADJECTIVE_ENDS = ["ed", "en", "er", "ing"], ["tion", "nt", "st", "ou", "in", "at"], ["s"], ["ly", "ble", "le", "al"]
+#: The same as patterns: an ending may be followed by one full stop or comma.
+VERB, NOUN, PLURAL, ADJECTIVE = (f"({'|'.join(x)})[.,]?$" for x in (VERB_ENDS, NOUN_ENDS, PLURAL_ENDS, ADJECTIVE_ENDS))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row or element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def readings(word: Column) -> Column:
     """array<array<string>>: the tags of each candidate reading."""
     tags = lambda *names: F.array(*map(F.lit, names))
-    some = F.array_compact(
-        F.array(
-            F.when(word.isin(DETERMINERS), tags("DET")),
-            F.when(word.rlike(VERB), F.when(word.rlike("ed[.,]?$"), tags("V", "PST")).otherwise(tags("V", "PRS"))),
-            F.when(word.rlike(NOUN), tags("N", "SG")),
-            F.when(word.rlike(PLURAL), tags("N", "PL")),
-            F.when(word.rlike(ADJECTIVE), tags("ADJ")),
-            F.when((F.length(word) <= 3) & ~word.isin(DETERMINERS), tags("PRP")),
+
+    def ends(stem: Column, endings: list[str]) -> Column:
+        out = F.endswith(stem, F.lit(endings[0]))
+        for x in endings[1:]:
+            out = out | F.endswith(stem, F.lit(x))
+        return out
+
+    def candidates(stem: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(word.isin(DETERMINERS), tags("DET")),
+                F.when(ends(stem, VERB_ENDS), F.when(F.endswith(stem, F.lit("ed")), tags("V", "PST")).otherwise(tags("V", "PRS"))),
+                F.when(ends(stem, NOUN_ENDS), tags("N", "SG")),
+                F.when(ends(stem, PLURAL_ENDS), tags("N", "PL")),
+                F.when(ends(stem, ADJECTIVE_ENDS), tags("ADJ")),
+                F.when((F.length(word) <= 3) & ~word.isin(DETERMINERS), tags("PRP")),
+            )
         )
-    )
-    return F.when(F.size(some) == 0, F.array(tags("X"))).otherwise(some)
+
+    marked = F.endswith(word, F.lit(".")) | F.endswith(word, F.lit(","))
+    stem = F.when(marked, F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+    return let(let(stem, candidates), lambda some: F.when(F.size(some) == 0, F.array(tags("X"))).otherwise(some))
 
 
 def words(text: Column) -> Column:

@@ -220,3 +220,47 @@ def test_look_flags_and_numeric_branches():
     stream = '"<a>"\n\t"a" N\n"<b>"\n\t"b" V <W=5>\n"<c>"\n\t"c" V\n'
     assert tags(run("ADD (x) (N) IF (1f (V <W>3>)) (2f (V <W>3>)); ADD (y) (N) IF (2 (V <W>3>));", stream))[0] == ['"a" N x']
     assert tags(run("ADD (x) (N) IF (*1 (<W>3>));", stream))[0] == ['"a" N x']
+
+
+def test_external_once_and_always():
+    """ONCE calls its command once per window, ALWAYS for each token that the rule meets."""
+    for mode, times in (("ONCE", 2), ("ALWAYS", 6)):
+        g = parse(f'DELIMITERS = "<.>"; EXTERNAL {mode} "cmd" (N) OR (DET) OR (V);')
+        calls = []
+        Applicator(g, None, lambda command, w: calls.append(command)).run(cg_text.parse(DUCK + DUCK, g))
+        assert len(calls) == times and set(calls) == {"cmd"}
+
+
+def test_rules_left_out():
+    grammar = "SELECT:noun (N) IF (-1 (DET)); REMOVE:plural (N PL);"
+    assert len(tags(run(grammar, DUCK))[1]) == 1
+    for options, left in ((Options(nrules="^pl"), 2), (Options(nrules="n|pl"), 1), (Options(nrules_v="n"), 2), (Options(nrules_v="x"), 1)):
+        assert len(tags(run(grammar, DUCK, options=options))[1]) == left
+
+
+def test_self_no_barrier():
+    """With the option, a barrier does not stop a scan at its own start; N then asks for the opposite."""
+    rule = lambda n: f"REMOVE (V) IF (1*S{n} (PUNCT) BARRIER (N SG));"
+    for option, n, left in (("", "", 2), ("", "N", 1), ("OPTIONS = self-no-barrier;", "", 1), ("OPTIONS = self-no-barrier;", "N", 2)):
+        assert len(tags(run(f"{option} {rule(n)}", DUCK))[1]) == left
+
+
+def test_coupling_through_nested_templates():
+    from lexiloom.operators.apply import couples_windows
+
+    nested = parse("TEMPLATE a = (1W (N)); TEMPLATE b = ((T:a) OR (-1 (V))); SELECT (N) IF (T:b);")
+    assert couples_windows(nested, Options())
+    assert not couples_windows(parse("TEMPLATE a = (1 (N)); TEMPLATE b = ((T:a) OR (-1 (V))); SELECT (N) IF (T:b);"), Options())
+
+
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ('"<a>"\n\t"a" N\n', "cg"), ('"<a>"\n', "plain"), ("a\t[b] N\n", "niceline"), ('a \t"b" N\n', "niceline"), ("^a/b<n>$ ", "apertium"), ("^a/b$", "plain"),
+        ("a\tb+N\n", "fst"), ('{"w": "a"}\n', "jsonl"), (' {"w": 1}', "plain"), ("Just words.\n", "plain"),
+    ],
+)
+def test_formats_are_told_by_their_head(text, name):
+    from lexiloom.sources.codecs import detect
+
+    assert detect(text) == name
