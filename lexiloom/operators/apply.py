@@ -1,10 +1,12 @@
 """Apply a grammar to window rows.
 
-The planner looks at what the grammar reads and writes:
+What the grammar reads and writes decides how:
 
-* every rule set-based: Columns only (:mod:`lexiloom.plans.columns`), no Python;
 * no coupling between windows: the kernel on each partition as it lies, no shuffle;
 * coupling (span tests, variables, new windows, relations): the kernel per document.
+
+Grammars whose rules are all set-based run without Python on windows of plain
+readings, by :func:`lexiloom.plans.columns.apply_columns`.
 """
 
 from __future__ import annotations
