@@ -1,8 +1,9 @@
-"""Rule profiles: how often each rule matched or failed, and a window where it matched."""
+"""Rule profiles: how often each rule and each of its tests matched or failed, and a window where it matched."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,39 +13,71 @@ from lexiloom.plans.grammar import Grammar, parse
 from lexiloom.plans.kernel import Applicator, Options
 from lexiloom.plans.rows import window_of
 
+COLUMNS = ["rule", "kind", "line", "context", "num_match", "num_fail", "example_doc", "example_win"]
+SCHEMA = "rule int, kind string, line int, context int, num_match long, num_fail long, example_doc long, example_win int"
+
 
 def profile(windows: DataFrame, grammar: str | Grammar, options: Options | None = None) -> DataFrame:
-    """(rule, kind, line, num_match, num_fail, example_doc): counts are summed per partition before the shuffle."""
+    """A row for each rule (``context`` is null) and for each of its tests (``context`` counts from 1).
+
+    Counts are summed per partition before the shuffle, so what is shuffled is bounded by
+    the grammar times the partitions.  A test under NEGATE counts as matched where what it negates holds.
+    """
     g = parse(grammar) if isinstance(grammar, str) else grammar
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, list] = {r.number: [r.number, r.kind, r.line, 0, 0, None] for r in g.rules()}
+        total: dict[tuple[int, int], list] = {}
+        for r in g.rules():
+            for k in range(len(r.tests) + 1):
+                total[r.number, k] = [r.number, r.kind, r.line, k or None, 0, 0, None, None]
         for frame in frames:
             for row in frame.to_dict("records"):
                 done = Applicator(g, options)
                 done.run([window_of(row)])
-                for number, (hit, miss) in done.counts.items():
-                    if number in total:
-                        total[number][3] += hit
-                        total[number][4] += miss
-                        if hit and total[number][5] is None:
-                            total[number][5] = row["doc_id"]
-        out = pd.DataFrame(total.values(), columns=["rule", "kind", "line", "num_match", "num_fail", "example_doc"])
-        out["example_doc"] = out["example_doc"].astype("Int64")
+                seen = {(number, 0): x for number, x in done.counts.items()} | {(number, k + 1): x for (number, k), x in done.test_counts.items()}
+                for key, (hit, miss) in seen.items():
+                    if key in total:
+                        total[key][4] += hit
+                        total[key][5] += miss
+                        here = (row["doc_id"], row["win"])
+                        if hit and (total[key][6] is None or here < (total[key][6], total[key][7])):
+                            total[key][6:] = here
+        out = pd.DataFrame(total.values(), columns=COLUMNS)
+        for name in ("context", "example_doc", "example_win"):
+            out[name] = out[name].astype("Int64")
         yield out
 
-    return merge(windows.mapInPandas(run, "rule int, kind string, line int, num_match long, num_fail long, example_doc long"))
+    return merge(windows.mapInPandas(run, SCHEMA))
 
 
 def merge(*profiles: DataFrame) -> DataFrame:
-    """One profile of several runs of the same grammar."""
+    """One profile of several runs of the same grammar: counts are summed, of examples the first window stays."""
     rows = profiles[0]
     for p in profiles[1:]:
         rows = rows.unionByName(p)
-    return rows.groupBy("rule", "kind", "line").agg(F.sum("num_match").alias("num_match"), F.sum("num_fail").alias("num_fail"), F.min("example_doc").alias("example_doc"))
+    example = F.min(F.when(F.col("example_doc").isNotNull(), F.struct("example_doc", "example_win"))).alias("example")
+    sums = rows.groupBy("rule", "kind", "line", "context").agg(F.sum("num_match").alias("num_match"), F.sum("num_fail").alias("num_fail"), example)
+    return sums.select("rule", "kind", "line", "context", "num_match", "num_fail", "example.example_doc", "example.example_win")
 
 
 def coverage(profiled: DataFrame) -> DataFrame:
-    """Rules with the share of tries that matched; unused rules have 0."""
+    """Rules and tests with the share of tries that matched; unused ones have 0."""
     tries = F.col("num_match") + F.col("num_fail")
     return profiled.withColumn("share", F.coalesce(F.col("num_match") / F.nullif(tries, F.lit(0)), F.lit(0.0))).withColumn("used", F.col("num_match") > 0)
+
+
+def report(profiled: DataFrame, grammar: str) -> str:
+    """The grammar's text as HTML, each rule's line with its counts; the rows collected are no more than rules and tests."""
+    found = {}
+    for r in profiled.collect():
+        found.setdefault(r.line, []).append((r.rule, r.context or 0, r.kind, r.num_match, r.num_fail, r.example_doc, r.example_win))
+    out = ["<!DOCTYPE html>", "<html><head><meta charset='utf-8'><title>Coverage</title></head><body><table>"]
+    for number, text in enumerate(grammar.split("\n"), 1):
+        rows = sorted(found.get(number, []))
+        used = "" if not rows else "unused" if not any(x[3] for x in rows if not x[1]) else "used"
+        notes = "; ".join(
+            f"{kind if not context else f'test {context}'}: {hit} of {hit + miss}" + (f", first in {doc}:{win}" if doc is not None and not context else "")
+            for _, context, kind, hit, miss, doc, win in rows
+        )
+        out.append(f"<tr class='{used}'><td>{number}</td><td><pre>{escape(text)}</pre></td><td>{escape(notes)}</td></tr>")
+    return "\n".join([*out, "</table></body></html>"]) + "\n"

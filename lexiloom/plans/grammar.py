@@ -192,6 +192,11 @@ RULES = set(
 )
 ONE_LIST = set("ADD MAP REPLACE APPEND COPY ADDCOHORT COPYCOHORT SPLITCOHORT MERGECOHORTS RESTORE JUMP REMVARIABLE ADDRELATION SETRELATION REMRELATION".split())
 TWO_LISTS = set("SUBSTITUTE SETVARIABLE ADDRELATIONS SETRELATIONS REMRELATIONS EXECUTE".split())
+#: What OPTIONS may hold.
+OPTIONS = set(
+    "no-inline-sets no-inline-templates strict-wordforms strict-baseforms strict-secondary strict-regex strict-icase "
+    "self-no-barrier ordered addcohort-attach safe-setparent".split()
+)
 CLOSING = {"TO", "FROM", "WITH", "BEFORE", "AFTER"}
 SECTION_NAMES = {"SECTION", "BEFORE-SECTIONS", "AFTER-SECTIONS", "NULL-SECTION", "MAPPINGS", "CORRECTIONS", "CONSTRAINTS"}
 
@@ -214,6 +219,7 @@ class Grammar:
     subreadings: str = "RTL"
     options: set[str] = field(default_factory=set)
     cmdargs: list[str] = field(default_factory=list)
+    cmdargs_override: list[str] = field(default_factory=list)
     strict: set[str] = field(default_factory=set)
     list_tags: set[str] = field(default_factory=set)
     static_sets: set[str] = field(default_factory=set)
@@ -242,7 +248,7 @@ _TOKEN = re.compile(
 
 LISTING = {"LIST", "OLIST", "DELIMITERS", "SOFT-DELIMITERS", "STRICT-TAGS", "LIST-TAGS", "PREFERRED-TARGETS", "REOPEN-MAPPINGS"}
 KEYWORDS = RULES | FLAGS | SECTION_NAMES | CLOSING | LISTING | set(
-    "SETS SET OSET TEMPLATE TEXT-DELIMITERS PARENTHESES MAPPING-PREFIX SUBREADINGS STATIC-SETS UNDEF-SETS OPTIONS CMDARGS INCLUDE "
+    "SETS SET OSET TEMPLATE TEXT-DELIMITERS PARENTHESES MAPPING-PREFIX SUBREADINGS STATIC-SETS UNDEF-SETS OPTIONS CMDARGS CMDARGS-OVERRIDE INCLUDE "
     "STATIC ANCHOR END TARGET IF EXCEPT OR ONCE ALWAYS".split()
 )
 
@@ -287,6 +293,7 @@ class Parser:
         self.place: list[Rule] | None = None
         self.section_flags: set[str] = set()
         self.count = 0
+        self.renamed: dict[str, str] = {}  # names that were undefined and may be given again
 
     # reading tokens
     def peek(self, ahead: int = 0) -> Token:
@@ -335,13 +342,14 @@ class Parser:
             self.expect("=", "+=")
             found = self.tag_list()
             setattr(g, "delimiters" if word == "DELIMITERS" else "soft_delimiters", found)
+            g.sets["_S_DELIMITERS_" if word == "DELIMITERS" else "_S_SOFT_DELIMITERS_"] = TagSet("list", found.members)
         elif word == "TEXT-DELIMITERS":
             self.take()
             self.expect("=", "+=")
             g.text_delimiters = self.tag_list().tags()
         elif word in ("LIST", "OLIST"):
             self.take()
-            name = self.take().text
+            name = self.current(self.take().text)
             grows = self.expect("=", "+=").text == "+="
             found = self.tag_list()
             if grows and name in g.sets:
@@ -349,7 +357,7 @@ class Parser:
             g.sets[name] = TagSet("list", found.members, name=name)
         elif word in ("SET", "OSET"):
             self.take()
-            name = self.take().text
+            name = self.current(self.take().text)
             self.expect("=")
             g.sets[name] = self.set_expression()
             self.expect(";")
@@ -364,7 +372,7 @@ class Parser:
             self.take()
             self.expect("=")
             while self.maybe("("):
-                left, right = parse_tag(self.take().text), parse_tag(self.take().text)
+                left, right = self.tag(), self.tag()
                 self.expect(")")
                 g.parentheses.append((left, right))
             self.expect(";")
@@ -378,7 +386,7 @@ class Parser:
             self.expect("=")
             g.subreadings = self.take().text
             self.expect(";")
-        elif word in ("REOPEN-MAPPINGS", "STATIC-SETS", "UNDEF-SETS", "STRICT-TAGS", "LIST-TAGS", "OPTIONS", "CMDARGS", "PREFERRED-TARGETS"):
+        elif word in ("REOPEN-MAPPINGS", "STATIC-SETS", "UNDEF-SETS", "STRICT-TAGS", "LIST-TAGS", "OPTIONS", "CMDARGS", "CMDARGS-OVERRIDE", "PREFERRED-TARGETS"):
             self.take()
             self.expect("=", "+=")
             names = []
@@ -387,7 +395,10 @@ class Parser:
             if word == "REOPEN-MAPPINGS":
                 g.reopen |= set(names)
             elif word == "OPTIONS":
-                g.options |= set(names)
+                unknown = {n.lower() for n in names} - OPTIONS
+                if unknown:
+                    raise GrammarError(f"line {token.line}: unknown option {min(unknown)}")
+                g.options |= {n.lower() for n in names}
             elif word == "STRICT-TAGS":
                 g.strict |= set(names)
             elif word == "LIST-TAGS":
@@ -395,10 +406,12 @@ class Parser:
             elif word == "STATIC-SETS":
                 g.static_sets |= set(names)
             elif word == "UNDEF-SETS":
-                for n in names:
-                    g.sets.pop(n, None)
+                for n in names:  # what was parsed before keeps the set under its name
+                    self.renamed[n] = f"{n}__{self.at}"
             elif word == "CMDARGS":
                 g.cmdargs += names
+            elif word == "CMDARGS-OVERRIDE":
+                g.cmdargs_override += names
         elif word == "INCLUDE":
             self.take()
             self.maybe("STATIC")
@@ -441,6 +454,29 @@ class Parser:
         self.place.append(rule)
 
     # sets
+    def current(self, name: str) -> str:
+        """The name a set has now: one that was undefined and given again is another set."""
+        return self.renamed.get(name, name)
+
+    def tag(self) -> Tag:
+        """A tag that STRICT-TAGS allows."""
+        found, strict, options = parse_tag(self.take().text), self.grammar.strict, self.grammar.options
+        text = found.text
+        if not strict or text in strict or found.kind in ("any", "varstring", "meta", "var", "lvar", "set", "special") or text in (">>>", "<<<"):
+            return found
+        if found.kind in ("regex", "line", "anyform"):
+            allowed = "strict-regex" not in options
+        elif found.kind == "icase":
+            allowed = "strict-icase" not in options
+        elif text.startswith('"'):
+            allowed = ("strict-wordforms" if text.startswith('"<') else "strict-baseforms") not in options
+        else:
+            allowed = text.startswith("<") and text.endswith(">") and "strict-secondary" not in options
+        if not allowed:
+            self.at -= 1
+            raise self.fail("a tag of STRICT-TAGS")
+        return found
+
     def tag_list(self) -> TagSet:
         """Tags and (tuples of tags) up to the semicolon."""
         members: list[tuple[Tag, ...]] = []
@@ -450,7 +486,7 @@ class Parser:
             elif self.peek().kind == "end":
                 raise self.fail(";")
             else:
-                members.append((parse_tag(self.take().text),))
+                members.append((self.tag(),))
         return TagSet("list", tuple(members))
 
     def composite(self) -> tuple[Tag, ...]:
@@ -458,7 +494,7 @@ class Parser:
         while not self.maybe(")"):
             if self.peek().kind == "end":
                 raise self.fail(")")
-            tags.append(parse_tag(self.take().text))
+            tags.append(self.tag())
         return tuple(tags)
 
     def operand(self) -> TagSet:
@@ -466,13 +502,23 @@ class Parser:
         if token.text == "(":
             return TagSet("list", (self.composite(),))
         if token.text.startswith(("$$", "&&")):
-            name = token.text[2:]
-            return TagSet("unify_tag" if token.text[0] == "$" else "unify_set", name=name)
+            number, colon, name = token.text[2:].rpartition(":")
+            name = self.current(name)
+            if name not in self.grammar.sets:
+                self.at -= 1
+                raise self.fail("a defined set")
+            return TagSet("unify_tag" if token.text[0] == "$" else "unify_set", name=number + colon + name)
         if token.kind == "word" and token.text not in (";",):
-            return TagSet("name", name=token.text)
-        if token.kind in ("quoted", "angled", "slashed"):
-            return TagSet("list", ((parse_tag(token.text),),))
+            name = self.current(token.text)
+            if name in self.grammar.sets or token.text in SPECIAL:
+                return TagSet("name", name=name)
+            if token.text in self.grammar.strict | self.grammar.list_tags:
+                return TagSet("list", ((parse_tag(token.text),),))
+            self.at -= 1
+            raise self.fail("a defined set")
         self.at -= 1
+        if token.kind in ("quoted", "angled", "slashed"):
+            return TagSet("list", ((self.tag(),),))
         raise self.fail("a set")
 
     def set_expression(self) -> TagSet:
@@ -586,7 +632,7 @@ class Parser:
     def rule(self) -> Rule:
         line, wordform = self.peek().line, None
         if self.peek().kind == "quoted":
-            wordform = parse_tag(self.take().text)
+            wordform = self.tag()
         keyword, _, name = self.take().text.partition(":")
         if keyword not in RULES:
             self.at -= 1
@@ -632,6 +678,8 @@ class Parser:
             self.maybe(";")
         else:
             self.expect(";")
+        if keyword == "SETPARENT" and not flags & {"SAFE", "UNSAFE"} and "safe-setparent" in self.grammar.options:
+            flags.add("SAFE")
         rule.flags = frozenset(flags)
         looks = {mark for flag, mark in LOOKS.items() if flag in flags}
         if looks:

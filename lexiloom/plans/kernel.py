@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from lexiloom.functions.numeric import compare, evaluate, numeric_tags
 from lexiloom.functions.varstring import expand
@@ -92,6 +92,7 @@ class Window:
     flush_after: bool = False
     parens: tuple[Cohort, Cohort] | None = None
     final_enclosure: bool = False
+    enclosures: bool = False  # whether bracketed spans were cut out
     called: set[int] = field(default_factory=set)  # EXTERNAL ONCE rules that were called on it
 
 
@@ -138,7 +139,7 @@ class Options:
     unsafe: bool = False
     no_magic: bool = False
     no_pass_origin: bool = False
-    sections: int | None = None
+    sections: int | str | None = None  # the first so many, or ranges as in 1,3-5
     rules: frozenset[str] = frozenset()
     nrules: str = ""  # patterns of the names of rules to run, and of those to leave out
     nrules_v: str = ""
@@ -150,6 +151,57 @@ class Options:
     no_after: bool = False
     no_sections: bool = False
     no_mappings: bool = False
+    no_corrections: bool = False
+
+
+#: Arguments that a grammar may give itself, and what they set.
+ARGUMENTS = {
+    "num-windows": "num_windows", "always-span": "always_span", "unsafe": "unsafe", "no-magic-readings": "no_magic", "no-pass-origin": "no_pass_origin",
+    "sections": "sections", "nrules": "nrules", "nrules-v": "nrules_v", "max-runs": "max_runs", "single-run": "max_runs", "dep-allow-loops": "dep_loops",
+    "dep-no-crossing": "dep_crossing", "trace": "trace", "no-before-sections": "no_before", "no-sections": "no_sections",
+    "no-after-sections": "no_after", "no-mappings": "no_mappings", "no-corrections": "no_corrections",
+}
+
+
+def arguments(words: list[str]) -> dict[str, object]:
+    """Option values of command line words; unknown ones raise."""
+    out: dict[str, object] = {}
+    rest = [w.strip('"') for x in words for w in x.split("=", 1)]
+    while rest:
+        word = rest.pop(0)
+        name = ARGUMENTS.get(word.removeprefix("--"))
+        if name is None or not word.startswith("--"):
+            raise ValueError(f"unknown argument {word}")
+        if word == "--single-run":
+            out[name] = 1
+        elif name in ("num_windows", "max_runs"):
+            out[name] = int(rest.pop(0))
+        elif name in ("sections", "nrules", "nrules_v"):
+            out[name] = rest.pop(0)
+        else:
+            out[name] = name != "dep_crossing"
+    return out
+
+
+def with_arguments(o: Options, g: Grammar) -> Options:
+    """``o`` with the grammar's own arguments: CMDARGS where ``o`` says nothing, CMDARGS-OVERRIDE in any case."""
+    plain = Options()
+    quiet = {k: v for k, v in arguments(g.cmdargs).items() if getattr(o, k) == getattr(plain, k)}
+    return replace(o, **{**quiet, **arguments(g.cmdargs_override)})
+
+
+def chosen_sections(chosen: int | str | None, n: int) -> list[int]:
+    """Indices of the sections to run: all, the first so many, or those of ranges."""
+    if chosen is None or chosen == 0:
+        return list(range(n))
+    text = str(chosen)
+    if text.isdigit():
+        return list(range(min(int(text), n)))
+    out = []
+    for part in text.split(","):
+        low, _, high = part.partition("-")
+        out += range(int(low) - 1, min(int(high or low), n))
+    return [k for k in out if k < n]
 
 
 class Restart(Exception):
@@ -161,13 +213,14 @@ class Restart(Exception):
 
 class Applicator:
     def __init__(self, grammar: Grammar, options: Options | None = None, external=None) -> None:
-        self.g, self.o = grammar, options or Options()
+        self.g, self.o = grammar, with_arguments(options or Options(), grammar)
         self.variables: dict[str, str] = {}
         self.windows: list[Window] = []
         self.at = 0
         self.next_gid = 1
         self.external = external  # command -> function from a window to a window
         self.counts: dict[int, list[int]] = {}  # rule -> matches, failures
+        self.test_counts: dict[tuple[int, int], list[int]] = {}  # rule and place of its test -> matches, failures
 
     # -- documents
 
@@ -237,7 +290,7 @@ class Applicator:
     def run_passes(self, w: Window) -> None:
         if not (self.o.no_before or self.o.no_mappings):
             self.run_rules(w, self.g.before)
-        sections = self.g.sections[: self.o.sections] if self.o.sections else self.g.sections
+        sections = [self.g.sections[k] for k in chosen_sections(self.o.sections, len(self.g.sections))]
         if not self.o.no_sections:
             for n in range(len(sections)):
                 rules = [r for s in sections[: n + 1] for r in s]
@@ -259,7 +312,9 @@ class Applicator:
                 continue
             if self.o.nrules and not re.search(self.o.nrules, rule.name) or self.o.nrules_v and re.search(self.o.nrules_v, rule.name):
                 continue
-            if not self.enclosure_allows(rule, w):
+            if self.o.no_mappings and rule.kind in ("MAP", "ADD", "REPLACE") or self.o.no_corrections and rule.kind in ("SUBSTITUTE", "APPEND"):
+                continue
+            if w.enclosures and ("ENCL_FINAL" in rule.flags) != w.final_enclosure:
                 continue
             while True:
                 changed, jump = self.run_rule(w, rule)
@@ -272,17 +327,6 @@ class Applicator:
                 k = next((i for i, r in enumerate(rules) if start is not None and r.number > start), k if start is None else len(rules))
         return again
 
-    def enclosure_allows(self, rule: Rule, w: Window) -> bool:
-        if "ENCL_FINAL" in rule.flags:
-            return w.final_enclosure
-        if w.final_enclosure:
-            return False
-        if "ENCL_OUTER" in rule.flags:
-            return w.parens is None
-        if "ENCL_INNER" in rule.flags:
-            return w.parens is not None
-        return True
-
     # -- one rule
 
     def run_rule(self, w: Window, rule: Rule, only: list[Cohort] | None = None, outer: Context | None = None) -> tuple[bool, str]:
@@ -304,6 +348,8 @@ class Applicator:
             return True
         single = len(c.readings) == 1
         kind, flags = rule.kind, rule.flags
+        if "ENCL_INNER" in flags and not self.in_enclosure(c, w) or "ENCL_OUTER" in flags and self.in_enclosure(c, w):
+            return True
         safe = "UNSAFE" not in flags and not self.o.unsafe
         if kind == "SELECT" and single or kind in ("REMOVE", "IFF") and single and safe and "UNMAPLAST" not in flags:
             return not (kind == "REMOVE" and c.readings[0].noprint)
@@ -317,6 +363,13 @@ class Applicator:
             return True
         return kind in ("REMPARENT", "SWITCHPARENT") and c.dep_parent is None
 
+    def in_enclosure(self, c: Cohort, w: Window) -> bool:
+        """Whether ``c`` lies in the bracketed span that was brought back last, brackets included."""
+        if w.parens is None or any(x not in w.cohorts for x in w.parens):
+            return False
+        first, last = (w.cohorts.index(x) for x in w.parens)
+        return first <= w.cohorts.index(c) <= last
+
     def readings_for(self, rule: Rule, c: Cohort) -> list[tuple[Reading, Reading]]:
         """(reading of the cohort, sub-reading the rule looks at)."""
         pool = c.deleted + c.delayed + c.ignored if rule.kind == "RESTORE" else list(c.readings)
@@ -345,7 +398,7 @@ class Applicator:
             if not self.match_set(rule.target, r, c, ctx):
                 continue
             ctx.withs = []
-            good = all(self.test_of_rule(t, c, ctx) for t in rule.tests)
+            good = self.tests_of_rule(rule, c, ctx)
             if rule.kind == "IFF":
                 iff_matched = iff_matched or good
                 matched.append((whole, r, ctx))
@@ -357,6 +410,17 @@ class Applicator:
             return False, ""
         return self.act(w, rule, c, matched, iff_matched)
 
+    def tests_of_rule(self, rule: Rule, c: Cohort, ctx: Context) -> bool:
+        """All tests in order; each starts with the mark on the target unless the rule remembers marks."""
+        for k, t in enumerate(rule.tests):
+            if "RESETX" in rule.flags or "REMEMBERX" not in rule.flags:
+                ctx.mark = None
+            good = self.test_of_rule(t, c, ctx)
+            self.test_counts.setdefault((rule.number, k), [0, 0])[0 if good != t.has("NEGATE") else 1] += 1
+            if not good:
+                return False
+        return True
+
     def test_of_rule(self, t: Test, c: Cohort, ctx: Context) -> bool:
         found = self.run_test(t, c, ctx)
         if found is not None and not t.has("NEGATE", "NOT", "NONE"):
@@ -1442,6 +1506,7 @@ class Applicator:
                     break
             k -= 1
         if any(c.enclosed for c in w.all):
+            w.enclosures = True
             self.mark_ends(w)
 
     def is_bracket(self, tag: Tag, c: Cohort) -> bool:

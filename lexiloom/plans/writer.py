@@ -105,10 +105,11 @@ def grammar(g: Grammar) -> str:
         out.append("TEXT-DELIMITERS = " + " ".join(map(tag, g.text_delimiters)) + " ;")
     if g.parentheses:
         out.append("PARENTHESES = " + " ".join(f"({tag(a)} {tag(b)})" for a, b in g.parentheses) + " ;")
-    for word, names in (("OPTIONS", g.options), ("STRICT-TAGS", g.strict), ("LIST-TAGS", g.list_tags), ("REOPEN-MAPPINGS", g.reopen), ("STATIC-SETS", g.static_sets)):
+    for word, names in (("OPTIONS", g.options), ("LIST-TAGS", g.list_tags), ("REOPEN-MAPPINGS", g.reopen), ("STATIC-SETS", g.static_sets)):
         if names:
             out.append(f"{word} += {' '.join(sorted(names))} ;")
-    out += [f"LIST {n} = {members(s)} ;" if s.op == "list" else f"SET {n} = {tag_set(s)} ;" for n, s in g.sets.items()]
+    out += [f"{word} += {' '.join(args)} ;" for word, args in (("CMDARGS", g.cmdargs), ("CMDARGS-OVERRIDE", g.cmdargs_override)) if args]
+    out += [f"LIST {n} = {members(s)} ;" if s.op == "list" else f"SET {n} = {tag_set(s)} ;" for n, s in g.sets.items() if not n.startswith("_S_")]
     out += [f"TEMPLATE {n} = {test(t)} ;" for n, t in g.templates.items()]
     at = {}
     for name, number in g.anchors.items():
@@ -120,4 +121,6 @@ def grammar(g: Grammar) -> str:
                 out += [f"ANCHOR {name} ;" for name in at.pop(r.number - 1, [])]
                 out.append(rule(r))
     out += [f"ANCHOR {name} ;" for names in at.values() for name in names]
+    if g.strict:
+        out.append(f"STRICT-TAGS += {' '.join(sorted(g.strict))} ;")  # at the end: tags before it aren't checked again
     return "\n".join(out) + "\n"

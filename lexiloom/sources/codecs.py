@@ -348,31 +348,70 @@ def write_jsonl(windows: list[Window]) -> str:
 # --- dependency trees as XML -----------------------------------------------------------------------
 
 
+def _matxin_reading(text: str) -> Reading:
+    """Joined words are tags of the same reading; what follows ``#`` behind the tags belongs to the base form."""
+    suffix = re.search(r"<[^#]*(#[^+]*)", text)
+    bases = [x for x in re.split(r"<[^>]*>", text) if x]
+    base = text.partition("<")[0] + (suffix[1] if suffix else "")
+    if "*" in text.partition("<")[0]:
+        return Reading([f'"{base}"'])
+    tags = [m[1] if m[1] is not None else f'"{m[2]}"' for m in re.finditer(r"<([^>]*)>|(?<=>)\+([^<]+)(?=<)", text)]
+    return Reading([f'"{base}"', *tags]) if bases else Reading(['""', *tags])
+
+
+def read_matxin(text: str, grammar: Grammar | None = None) -> list[Window]:
+    """Words as ``^form/base<tag><tag>$``, which is what goes in where XML trees come out."""
+    cohorts: list[Cohort] = []
+    texts: dict[int, str] = {}
+    at = 0
+    for m in re.finditer(r"\[[^\]]*\]|\^([^/$]*)((?:/[^/$]*)*)\$", text):
+        if m[1] is None:
+            continue  # a superblank; a caret in it starts nothing
+        between = text[at : m.start()]
+        if between and cohorts:
+            texts[len(cohorts) - 1] = between
+        at = m.end()
+        cohorts.append(Cohort(_word(m[1]), [_matxin_reading(r) for r in m[2].split("/")[1:]]))
+    if cohorts and text[at:]:
+        texts[len(cohorts) - 1] = texts.get(len(cohorts) - 1, "") + text[at:]
+    return _cut(cohorts, grammar, texts)
+
+
 def write_matxin(windows: list[Window]) -> str:
-    """One SENTENCE per window, NODE in NODE by dependency; a cohort shows its first reading."""
+    """One SENTENCE per window, NODE in NODE by dependency; a cohort shows its first reading.
+
+    Cohorts without a parent in the window hang on the window's root, the first that
+    has none; marks of XML are written as references.
+    """
     from xml.sax.saxutils import quoteattr
 
+    quoted = lambda x: quoteattr(x, {'"': "&quot;"})
     out = ["<corpus>"]
     for k, w in enumerate(windows, 1):
         live = [c for c in w.all[1:] if not c.removed]
         ids = {c.gid for c in live}
-
-        def node(c: Cohort, depth: int, seen: frozenset[int]) -> list[str]:
-            r = c.readings[0] if c.readings else magic(c)
-            attrs = f'ord="{live.index(c) + 1}" form={quoteattr(_form(c))} lem={quoteattr(_base(r))} mi={quoteattr("|".join(t for t in _rest(r) if t != r.mapping))}'
-            if r.mapping:
-                attrs += f" si={quoteattr(r.mapping.lstrip('@'))}"
-            below = [x for x in live if x.dep_parent == c.gid and x.gid not in seen]
-            pad = "  " * depth
-            if not below:
-                return [f"{pad}<NODE {attrs}/>"]
-            return [f"{pad}<NODE {attrs}>", *[y for x in below for y in node(x, depth + 1, seen | {x.gid})], f"{pad}</NODE>"]
-
-        out.append(f'<SENTENCE ord="{k}">')
+        below: dict[int, list[Cohort]] = {}
+        tops: list[Cohort] = []
         for c in live:
-            if c.dep_parent is None or c.dep_parent not in ids:
-                out += node(c, 1, frozenset({c.gid}))
-        out.append("</SENTENCE>")
+            if c.dep_parent in ids and c.dep_parent != c.gid:
+                below.setdefault(c.dep_parent, []).append(c)
+            else:
+                tops.append(c)
+        shown: set[int] = set()
+
+        def node(c: Cohort, depth: int) -> list[str]:
+            shown.add(id(c))
+            r = c.readings[0] if c.readings else magic(c)
+            plain = [t for t in _rest(r) if t != r.mapping and not t.startswith("+")]
+            attrs = f'ord="{c.gid or live.index(c) + 1}" alloc="0" form={quoted(_form(c))} lem={quoted(_base(r))} mi={quoted("|".join(plain))} si={quoted(r.mapping[1:])}'
+            pad, inner = "  " * depth, [y for x in below.get(c.gid, []) if c.gid and id(x) not in shown for y in node(x, depth + 1)]
+            return [f"{pad}<NODE {attrs}>", *inner, f"{pad}</NODE>"] if inner else [f"{pad}<NODE {attrs}/>"]
+
+        out.append(f'  <SENTENCE ord="{k}" alloc="0">')
+        for c in [*tops, *live]:  # whoever hangs on a loop is not below a top
+            if id(c) not in shown:
+                out += node(c, 2)
+        out.append("  </SENTENCE>")
     return "\n".join([*out, "</corpus>"]) + "\n"
 
 
@@ -415,9 +454,9 @@ SNIFF = [
     ("fst", r"(?sm)^\S+\t\S+(\+\S+)+$"),
     ("jsonl", r"(?m)^\{"),
 ]
-FORMATS: dict[str, tuple[Callable | None, Callable]] = {
+FORMATS: dict[str, tuple[Callable, Callable]] = {
     "cg": (cg_text.parse, cg_text.format_windows), "niceline": (read_niceline, write_niceline), "plain": (read_plain, write_plain),
-    "fst": (read_fst, write_fst), "apertium": (read_apertium, write_apertium), "jsonl": (read_jsonl, write_jsonl), "matxin": (None, write_matxin),
+    "fst": (read_fst, write_fst), "apertium": (read_apertium, write_apertium), "jsonl": (read_jsonl, write_jsonl), "matxin": (read_matxin, write_matxin),
 }
 
 
@@ -428,6 +467,4 @@ def detect(text: str) -> str:
 
 def convert(text: str, to: str, source: str = "") -> str:
     """``text`` in another format, without a grammar."""
-    reader = FORMATS[source or detect(text)][0]
-    assert reader is not None
-    return FORMATS[to][1](reader(text))
+    return FORMATS[to][1](FORMATS[source or detect(text)][0](text))
