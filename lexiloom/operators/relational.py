@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from lexiloom.functions.varstring import expand_column
 from lexiloom.operators.apply import apply_grammar
 from lexiloom.operators.catalog import SQL_TOKENS, SQL_WINDOWS, Query, has, shown_if, windows
 from lexiloom.plans.columns import let
+from lexiloom.plans.kernel import Options
 from lexiloom.sources import documents
 from lexiloom.sources.codecs import SNIFF
+from lexiloom.sources.streams import read_texts, write_texts
 from lexiloom.storage import table
 
 QUERIES: dict[str, Query] = {}
@@ -395,17 +399,23 @@ def dialogue_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.full_windows(turns.select("doc_id", F.lit(0).alias("win"), F.lit(0).alias("part"), small.alias("cohorts")))
 
 
-def kernel(name: str, grammar: str, sql: str, label: str = "'t' || turn", group: str = "doc_id") -> None:
+def shown_tokens(done: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, tokens): a token shows its readings, its parent after # and its relations after ~."""
+    shown = lambda c: F.array_join(F.transform(c["readings"], lambda r: F.array_join(F.concat(F.slice(r["tags"], 2, 9), F.array_compact(F.array(r["mapping"]))), " ")), "|")
+    live = F.filter("cohorts", lambda c: ~c["removed"])
+    parent = lambda c: F.when(c["dep_parent"].isNotNull(), F.concat(F.lit("#"), c["dep_parent"].cast("string"))).otherwise("")
+    target = lambda e: F.concat(F.lit("~"), e["key"], F.lit(">"), F.array_join(F.transform(e["value"], lambda x: x.cast("string")), "+"))
+    related = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c["relations"])), target), "")
+    arcs = F.transform(live, lambda c: F.concat(c["wordform"].substr(F.lit(3), F.length(c["wordform"]) - 4), F.lit(":"), shown(c), parent(c), related(c)))
+    return done.select("doc_id", *keys, F.array_join(arcs, " ").alias("tokens"))
+
+
+def kernel(
+    name: str, grammar: str, sql: str, label: str = "'t' || turn", group: str = "doc_id", options: Options | None = None, external: Callable | None = None
+) -> None:
     """A query that runs ``grammar`` on whole conversations; ``sql`` gives doc_id, pos, turn and tags of the tokens from ``x``."""
     def run(spark, sf_dir):
-        done = apply_grammar(dialogue_windows(spark, sf_dir), grammar)
-        shown = lambda c: F.array_join(F.transform(c["readings"], lambda r: F.array_join(F.concat(F.slice(r["tags"], 2, 9), F.array_compact(F.array(r["mapping"]))), " ")), "|")
-        live = F.filter("cohorts", lambda c: ~c["removed"])
-        parent = lambda c: F.when(c["dep_parent"].isNotNull(), F.concat(F.lit("#"), c["dep_parent"].cast("string"))).otherwise("")
-        target = lambda e: F.concat(F.lit("~"), e["key"], F.lit(">"), F.array_join(F.transform(e["value"], lambda x: x.cast("string")), "+"))
-        related = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c["relations"])), target), "")
-        arcs = F.transform(live, lambda c: F.concat(c["wordform"].substr(F.lit(3), F.length(c["wordform"]) - 4), F.lit(":"), shown(c), parent(c), related(c)))
-        return done.select("doc_id", F.array_join(arcs, " ").alias("tokens"))
+        return shown_tokens(apply_grammar(dialogue_windows(spark, sf_dir), grammar, options, external))
 
     QUERIES[name], SQL[name] = run, f"""WITH c AS (SELECT conv_id AS doc_id, turn, role, CASE WHEN length(text) > 200 THEN 'LONG' ELSE 'SHORT' END AS size,
  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text)) AS pos FROM conversations),
@@ -467,3 +477,121 @@ kernel("kernel_noiterate", "SECTION MAP NOITERATE (@N) (user) IF (1 (assistant))
 kernel("kernel_before_sections", "BEFORE-SECTIONS SELECT (user) IF (-1** (system)); SECTION MAP (@F) (user) IF (0C (user));", "SELECT *, CASE WHEN role = 'user' AND bool_or(role = 'system') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN role || ' @F' ELSE role || '|' || size END AS tags FROM x")
 kernel("kernel_scan_link", "MAP (@A) (assistant) IF (-1** (user) LINK 1 (assistant) LINK 0 (LONG));", "SELECT *, role || CASE WHEN role = 'assistant' AND bool_or(role = 'user' AND q = 'assistant' AND s = 'LONG') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN ' @A' ELSE '' END || '|' || size AS tags FROM (SELECT *, lead(size) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM x)")
 kernel("kernel_remcohort_test", "BEFORE-SECTIONS REMCOHORT (user) IF (1 (LONG));", f"SELECT *, {_ALL} AS tags FROM (SELECT *, lead(size) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM x) WHERE NOT (role = 'user' AND coalesce(s, '') = 'LONG')")
+
+
+# Tags, sets and positions that only the kernel knows.
+_NEXT = "(SELECT *, lead(size) OVER w AS s, lead(role, 2) OVER w AS r2 FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"
+_MAPPED = "SELECT *, role || CASE WHEN {} THEN ' {}' ELSE '' END || '|' || size AS tags FROM " + _NEXT
+
+
+def mapped(name: str, grammar: str, condition: str, tag: str = "@X", **more) -> None:
+    """A query whose grammar puts a mapping tag on the readings with the role."""
+    kernel(name, grammar, _MAPPED.format(condition, tag), **more)
+
+
+mapped("kernel_tag_set", "LIST A = user; MAP (@X) (SET:A);", "role = 'user'")
+mapped("kernel_tag_anyform", 'MAP (@X) ("<.*>"r user);', "role = 'user'")
+mapped("kernel_tag_target", "MAP (@X) (user) IF (1 (assistant) LINK -1 (_TARGET_));", _ASKED)
+mapped("kernel_tag_mark", "MAP (@X) (user) IF (1X (assistant) LINK 0 (_MARK_));", _ASKED)
+mapped("kernel_olist", "OLIST A = (user) (system); MAP (@X) A;", "role IN ('user', 'system')")
+mapped("kernel_list_grows", "LIST A = user; LIST A += system; MAP (@X) A;", "role IN ('user', 'system')")
+mapped("kernel_set_definition", "LIST A = user assistant; SET B = A - (assistant) OR (system); MAP (@X) B;", "role IN ('user', 'system')")
+mapped("kernel_list_tags", "LIST-TAGS += user; MAP (@X) user;", "role = 'user'")
+mapped("kernel_undefined_set", "LIST A = user; SECTION MAP (@X) A; UNDEF-SETS = A; LIST A = nobody; MAP (@X) A;", "role = 'user'")
+mapped("kernel_scan_both", "MAP (@X) (user) IF (0* (system));", "role = 'user' AND bool_or(role = 'system') OVER (PARTITION BY doc_id)")
+mapped("kernel_mark_jump", "MAP (@X) (user) IF (1X (assistant) LINK 1 (user) LINK jM (LONG));", f"{_ASKED} AND r2 = 'user' AND s = 'LONG'")
+mapped("kernel_mark_remembered", "MAP REMEMBERX (@X) (user) IF (1X (assistant)) (0 (*) LINK jM (LONG));", f"{_ASKED} AND s = 'LONG'")
+mapped("kernel_mark_forgotten", "MAP (@X) (user) IF (1X (assistant)) (0 (*) LINK jM (LONG));", f"{_ASKED} AND size = 'LONG'")
+mapped("kernel_target_jump", "MAP (@X) (user) IF (1 (assistant) LINK jT (LONG));", f"{_ASKED} AND size = 'LONG'")
+mapped("kernel_self_scan", "MAP (@X) (user) IF (-1*S (LONG) BARRIER (system));", """role = 'user' AND coalesce(max(CASE WHEN size = 'LONG' THEN pos END) OVER v, 0) > 0
+ AND (size = 'LONG' OR max(CASE WHEN size = 'LONG' THEN pos END) OVER v >= coalesce(max(CASE WHEN role = 'system' THEN pos END) OVER v, 0))""")
+SQL["kernel_self_scan"] = SQL["kernel_self_scan"].replace(_NEXT, f"{_NEXT} WINDOW v AS (PARTITION BY doc_id ORDER BY pos)")
+mapped("kernel_unify_numbered", "LIST SIZE = LONG SHORT; MAP (@X) (user) IF (0 $$1:SIZE) (1 $$1:SIZE) (2 $$2:SIZE);", "role = 'user' AND size = s AND r2 IS NOT NULL")
+mapped("kernel_rule_filter", "MAP:first (@X) (user); MAP:second (@Y) (assistant);", "role = 'user'", options=Options(nrules="^fi"))
+mapped("kernel_own_arguments", "CMDARGS += --nrules-v ^sec ; MAP:first (@X) (user); MAP:second (@Y) (assistant);", "role = 'user'")
+mapped("kernel_section_ranges", "SECTION MAP (@X) (user); SECTION MAP (@Y) (assistant); SECTION MAP (@Z) (system);", "role = 'user'", options=Options(sections="1-1"))
+mapped("kernel_null_section", "SECTION MAP (@X) (user); NULL-SECTION MAP (@Y) (assistant);", "role = 'user'")
+mapped("kernel_after_sections", "SECTION SELECT NOITERATE (Q); AFTER-SECTIONS MAP (@X) (user) IF (1 (assistant));", _ASKED)
+mapped("kernel_external", 'EXTERNAL ONCE "mark users" (user); MAP (@X) (user) IF (1 (assistant));', _ASKED, external=lambda command, window: False)
+mapped("kernel_sets_empty_template", "TEMPLATE after = (1 (assistant)); TEMPLATE both = ((T:after) OR (-1 (system))); MAP (@X) (user) IF (T:both);", f"({_ASKED}) OR role = 'user' AND coalesce(p, '') = 'system'")
+
+# Readings that were put aside, and rules' flags.
+_DROPPED = "CASE WHEN size = 'LONG' THEN '' ELSE '|' || size END"
+for _flag, _letter in (("", "D"), ("DELAYED", "d")):
+    kernel(f"kernel_look_{_flag.lower() or 'deleted'}", f"REMOVE {_flag} (LONG); MAP (@D) (user) IF (1{_letter} (LONG));", f"SELECT *, role || CASE WHEN role = 'user' AND s = 'LONG' THEN ' @D' ELSE '' END || {_DROPPED} AS tags FROM {_NEXT}")
+kernel("kernel_immediate", "REMOVE IMMEDIATE (LONG); MAP (@D) (user) IF (NOT 1 (LONG));", f"SELECT *, role || CASE WHEN role = 'user' AND q IS NOT NULL THEN ' @D' WHEN role = 'user' THEN ' @D' ELSE '' END || {_DROPPED} AS tags FROM x")
+kernel("kernel_restore", "BEFORE-SECTIONS REMOVE (LONG); SECTION RESTORE (LONG) (*) IF (0 (user));", f"SELECT *, role || CASE WHEN role = 'user' THEN '|' || size ELSE {_DROPPED} END AS tags FROM x")
+kernel("kernel_unmaplast", "BEFORE-SECTIONS MAP (@Q) (user); SELECT (user); SECTION REMOVE UNMAPLAST (user) IF (1 (assistant));", f"SELECT *, CASE WHEN {_ASKED} THEN role WHEN role = 'user' THEN role || ' @Q' ELSE {_ALL} END AS tags FROM x")
+kernel("kernel_nomapped", "BEFORE-SECTIONS MAP (@Q) (user) IF (1 (assistant)); SECTION SUBSTITUTE NOMAPPED (user) (human) (user);", f"SELECT *, CASE WHEN {_ASKED} THEN role || ' @Q' WHEN role = 'user' THEN 'human' ELSE role END || '|' || size AS tags FROM x")
+kernel("kernel_loop_refused", "SETPARENT (assistant) TO (-1 (user)); SETPARENT (user) TO (1 (assistant));", f"SELECT *, {_ALL} || CASE WHEN {_ANSWER} THEN '#' || (pos - 1) ELSE '' END AS tags FROM x")
+kernel("kernel_allowloop", "SETPARENT (assistant) TO (-1 (user)); SETPARENT ALLOWLOOP (user) TO (1 (assistant));", f"SELECT *, {_ALL} || CASE WHEN {_ANSWER} THEN '#' || (pos - 1) WHEN {_ASKED} THEN '#' || (pos + 1) ELSE '' END AS tags FROM x")
+kernel("kernel_safe_setparent", "OPTIONS += safe-setparent ; BEFORE-SECTIONS SETPARENT (assistant) TO (-1 (user)); SETPARENT (assistant) TO (@1 (*));", f"SELECT *, {_ALL} || CASE WHEN {_ANSWER} THEN '#' || (pos - 1) ELSE '' END AS tags FROM x")
+kernel("kernel_with_context", "WITH (user) IF (1 (assistant)) { MAP (@W) (_C1_) ; };", _if(_ANSWER, "role || ' @W|' || size || ' @W'"))
+kernel("kernel_replace", "REPLACE (human) (user);", "SELECT *, CASE WHEN role = 'user' THEN 'human' ELSE role END || '|' || size AS tags FROM x")
+kernel("kernel_append", 'APPEND ("n" new) (user);', f"SELECT *, {_ALL} || CASE WHEN role = 'user' THEN '|new' ELSE '' END AS tags FROM x")
+# A question and its answer are an enclosure: they are cut out, and come back one pair after the other.
+_PAIRS = "PARENTHESES = (user assistant) ; "
+_PAIRED = f"({_ASKED} OR {_ANSWER})"
+kernel("kernel_enclosure", _PAIRS + "MAP (@L) (_LEFT_) + (user); MAP (@R) (_RIGHT_) + (assistant);", f"SELECT *, role || CASE WHEN {_ASKED} THEN ' @L' WHEN {_ANSWER} THEN ' @R' ELSE '' END || '|' || size AS tags FROM x")
+kernel("kernel_encl_inner", _PAIRS + "MAP ENCL_INNER (@X) (user) OR (assistant) OR (system);", f"SELECT *, role || CASE WHEN {_PAIRED} THEN ' @X' ELSE '' END || '|' || size AS tags FROM x")
+kernel("kernel_encl_final", _PAIRS + "MAP ENCL_FINAL (@X) (user) IF (1 (assistant) LINK 1 (user));", f"SELECT *, role || CASE WHEN {_ASKED} AND r2 = 'user' THEN ' @X' ELSE '' END || '|' || size AS tags FROM {_NEXT}")
+
+
+# --- texts of every format: conversations written, read back and written again -------------------------
+
+_TAIL = "SELECT doc_id, {text} AS text, {again} AS again FROM x GROUP BY doc_id"
+
+
+def codec(name: str, text: str, again: str = "") -> None:
+    """Writes conversations in a format, reads that and writes it ``again``; ``text``: the text in SQL, the second one unless given."""
+    def run(spark, sf_dir):
+        once = write_texts(dialogue_windows(spark, sf_dir), name)
+        again = write_texts(read_texts(once.select("doc_id", "text"), name), name)
+        both = once.select("doc_id", "text").join(again.select("doc_id", F.col("text").alias("again")), "doc_id", "left")
+        return both.select("doc_id", "text", "again")
+
+    QUERIES[f"codec_{name}"] = run
+    SQL[f"codec_{name}"] = SQL["kernel_select"].split("y AS (")[0].rstrip().rstrip(",") + "\n" + _TAIL.format(text=text, again=again or text)
+
+
+codec("cg", """string_agg('"<t' || turn || '>"' || chr(10) || chr(9) || '"t' || turn || '" ' || role || chr(10) || chr(9) || '"t' || turn || '" ' || size || chr(10), '' ORDER BY pos)""")
+codec("niceline", "string_agg('t' || turn || chr(9) || '[t' || turn || '] ' || role || chr(9) || '[t' || turn || '] ' || size, chr(10) ORDER BY pos) || chr(10)")
+codec("apertium", "string_agg('^t' || turn || '/t' || turn || '<' || role || '>/t' || turn || '<' || size || '>$', ' ' ORDER BY pos)")
+_FST = "string_agg('t' || turn || chr(9) || 't' || turn || '+' || role || chr(9) || '0.0' || chr(10) || 't' || turn || chr(9) || 't' || turn || '+' || size || chr(9) || '0.0' || chr(10), chr(10) ORDER BY pos)"
+codec("fst", _FST, f"replace({_FST}, '0.0', '0.000000')")  # a weight that was read is a tag of six decimals
+codec("plain", "string_agg('t' || turn, ' ' ORDER BY pos) || chr(10)")
+codec("jsonl", """string_agg('{"w": "t' || turn || '", "rs": [{"l": "t' || turn || '", "ts": ["' || role || '"]}, {"l": "t' || turn || '", "ts": ["' || size || '"]}]}', chr(10) ORDER BY pos) || chr(10)""")
+_PAST = SQL["kernel_select"].split("y AS (")[0].rstrip().rstrip(",")
+
+
+@query(_PAST + """
+SELECT doc_id, '<corpus>' || chr(10) || '  <SENTENCE ord="1" alloc="0">' || chr(10) || string_agg('    <NODE ord="' || pos || '" alloc="0" form="t' || turn || '" lem="t' || turn || '" mi="' || role || '" si=""/>' || chr(10), '' ORDER BY pos)
+ || '  </SENTENCE>' || chr(10) || '</corpus>' || chr(10) AS text FROM x GROUP BY doc_id""")
+def codec_matxin(spark, sf_dir):
+    """XML trees of conversations: without dependencies each token is a tree."""
+    return write_texts(dialogue_windows(spark, sf_dir), "matxin").select("doc_id", "text")
+
+
+@query("SELECT DISTINCT conv_id AS doc_id, f AS format, CASE WHEN f = 'fst' THEN 'plain' ELSE f END AS found FROM conversations, (SELECT unnest(['cg', 'niceline', 'apertium', 'fst', 'jsonl', 'plain']) AS f)")
+def codec_detect(spark, sf_dir):
+    """The format of a text, by its first characters, is the one it was written in; lines of ``fst`` with a weight aren't recognised."""
+    rows = dialogue_windows(spark, sf_dir)
+    texts = [write_texts(rows, f).select("doc_id", F.lit(f).alias("format"), format_of(F.col("text")).alias("found")) for f in ("cg", "niceline", "apertium", "fst", "jsonl", "plain")]
+    out = texts[0]
+    for t in texts[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+@query(_PAST + """, y AS (SELECT *, count(*) FILTER (role = 'assistant') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seg FROM x)
+SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY seg))::INT AS win,
+ string_agg('t' || turn || ':' || role || CASE WHEN role = 'user' AND seg > 0 THEN ' @S' ELSE '' END, ' ' ORDER BY pos) AS tokens FROM y GROUP BY doc_id, seg""")
+def stream_commands(spark, sf_dir):
+    """A stream with a delimiter after each answer, which also sets a variable for what follows."""
+    shown = F.concat(F.lit('"<t'), F.col("turn"), F.lit('>"\n\t"t'), F.col("turn"), F.lit('" '), F.col("role"), F.lit("\n"))
+    command = F.when(F.col("role") == "assistant", F.lit("<STREAMCMD:SETVAR:seen=1>\n")).otherwise("")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.struct("turn", "role", F.length("text"), F.concat(shown, command)).alias("t"))
+    texts = turns.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["col4"]), "").alias("text"))
+    grammar = "DELIMITERS = assistant ; MAP (@S) (user) IF (0 (VAR:seen)) ;"
+    done = apply_grammar(read_texts(texts, "cg", grammar), grammar)
+    return shown_tokens(done, "win")
