@@ -227,8 +227,56 @@ def math_functions(spark, sf_dir):
 # --- stream state over events ----------------------------------------------------------------------
 
 
-def _by_user():
-    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+def _in_hour():
+    """A user's events of one hour, in order: a user with a third of all events is spread over their hours."""
+    return Window.partitionBy("user_id", "hour").orderBy("ts", "event_id")
+
+
+def _hours(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "ts", *columns, F.date_trunc("hour", "ts").alias("hour"))
+
+
+def _carried(rows: DataFrame, of_hour: Column, before: Column) -> DataFrame:
+    """``rows`` with ``carry``: what the user's hours before left behind.
+
+    ``of_hour`` is aggregated per user and hour to ``left``; ``before`` gathers ``left`` over
+    the hours of a user, of which there are few however many events the user has.
+    """
+    past = Window.partitionBy("user_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    left = rows.groupBy("user_id", "hour").agg(of_hour.alias("left")).select(F.col("user_id").alias("u"), F.col("hour").alias("h"), before.over(past).alias("carry"))
+    return rows.join(left, F.col("user_id").eqNullSafe(F.col("u")) & F.col("hour").eqNullSafe(F.col("h"))).drop("u", "h")
+
+
+def _last_set(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` with the last value that isn't null, of an event or of those before it."""
+    rows = rows.withColumn(name, value)
+    found = _carried(rows, F.max(F.when(F.col(name).isNotNull(), F.struct("ts", "event_id", name))), F.last("left", ignorenulls=True))
+    return found.withColumn(name, F.coalesce(F.last(name, ignorenulls=True).over(_in_hour()), F.col(f"carry.{name}")))
+
+
+def _sum_so_far(rows: DataFrame, value: Column, name: str, with_itself: bool) -> DataFrame:
+    """``rows`` with the sum of ``value`` over a user's events before, or up to, each."""
+    rows = rows.withColumn(name, value)
+    found = _carried(rows, F.sum(name), F.sum("left"))
+    so_far = F.sum(name).over(_in_hour().rowsBetween(Window.unboundedPreceding, 0 if with_itself else -1))
+    return found.withColumn(name, (F.coalesce("carry", F.lit(0)) + F.coalesce(so_far, F.lit(0))).cast("long"))
+
+
+def _neighbours(rows: DataFrame, column: str, by: int) -> DataFrame:
+    """``rows`` with ``before`` and ``after``: ``column`` so many events of the user earlier and later.
+
+    Inside an hour neighbours are found within it; the first and last events of the hours
+    are few, and find theirs among themselves.
+    """
+    w, back = _in_hour(), Window.partitionBy("user_id", "hour").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    placed = rows.select("*", F.lag(column, by).over(w).alias("before"), F.lead(column, by).over(w).alias("after"), F.row_number().over(w).alias("first"), F.row_number().over(back).alias("last"))
+    edge = (F.col("first") <= by) | (F.col("last") <= by)
+    user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    edges = placed.filter(edge).withColumns({
+        "before": F.when(F.col("first") <= by, F.lag(column, by).over(user)).otherwise(F.col("before")),
+        "after": F.when(F.col("last") <= by, F.lead(column, by).over(user)).otherwise(F.col("after")),
+    })
+    return placed.filter(~edge).unionByName(edges).drop("first", "last")
 
 
 @query("""SELECT event_id, user_id, last_value(CASE WHEN event_type IN ('click', 'purchase') THEN event_type END IGNORE NULLS)
@@ -236,16 +284,14 @@ OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDIN
 def variables_carry(spark, sf_dir):
     """SETVAR by some events; the value holds until the next one."""
     setter = F.when(F.col("event_type").isin("click", "purchase"), F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.last(setter, ignorenulls=True).over(_by_user()).alias("mode"))
+    return _last_set(_hours(spark, sf_dir, "event_type"), setter, "mode").select("event_id", "user_id", "mode")
 
 
 @query("""SELECT user_id, block, count(*) AS n, min(event_id) AS first_event FROM (SELECT user_id, event_id,
  coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS block FROM events) GROUP BY ALL""")
 def flush_partitions(spark, sf_dir):
     """FLUSH after some events: each starts a new block of windows."""
-    before = _by_user().rowsBetween(Window.unboundedPreceding, -1)
-    block = F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).over(before), F.lit(0)).cast("long")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", block.alias("block"))
+    rows = _sum_so_far(_hours(spark, sf_dir, "event_type"), F.when(F.col("event_type") == "purchase", 1).otherwise(0), "block", False)
     return rows.groupBy("user_id", "block").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 
@@ -254,7 +300,7 @@ OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ignored FROM events) WHERE
 def ignore_resume(spark, sf_dir):
     """IGNORE at an error, RESUME at a view or click."""
     command = F.when(F.col("event_type") == "error", 1).when(F.col("event_type").isin("view", "click"), 0)
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.last(command, ignorenulls=True).over(_by_user()).alias("ignored"))
+    rows = _last_set(_hours(spark, sf_dir, "event_type"), command, "ignored")
     return rows.filter(F.coalesce("ignored", F.lit(0)) == 0).select("event_id", "user_id")
 
 
@@ -262,9 +308,9 @@ def ignore_resume(spark, sf_dir):
  (SELECT *, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) BETWEEN 0 AND 200 THEN 0 ELSE 1 END AS jump FROM events)) GROUP BY ALL""")
 def dep_delimit(spark, sf_dir):
     """A new window where ids fall back or jump by more than a limit."""
-    step = F.col("event_id") - F.lag("event_id").over(_by_user())
-    jump = F.when(step.between(0, 200), 0).otherwise(1)
-    rows = table(spark, sf_dir, "events").withColumn("jump", jump).withColumn("session", F.sum("jump").over(_by_user()).cast("long"))
+    steps = _neighbours(_hours(spark, sf_dir, "value"), "event_id", 1)
+    jump = F.when((F.col("event_id") - F.col("before")).between(0, 200), 0).otherwise(1)
+    rows = _sum_so_far(steps, jump, "session", True)
     return rows.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -272,7 +318,7 @@ def dep_delimit(spark, sf_dir):
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
 def ctx_span_windows(spark, sf_dir):
     """Tests that span two windows to either side, each event a window of its user."""
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_type", 2).over(_by_user()).alias("prev_type"), F.lead("event_type", 2).over(_by_user()).alias("next_type"))
+    return _neighbours(_hours(spark, sf_dir, "event_type"), "event_type", 2).select("user_id", "event_id", F.col("before").alias("prev_type"), F.col("after").alias("next_type"))
 
 
 # --- mappings ---------------------------------------------------------------------------------------

@@ -228,7 +228,7 @@ class Applicator:
         """Process windows in order, oldest first."""
         self.windows, self.at = list(windows), 0
         top = max((c.gid for w in windows for c in w.all), default=0)
-        self.next_gid = top + 1
+        self.next_gid = max(self.next_gid, top + 1)
         while self.at < len(self.windows):
             w = self.windows[self.at]
             for name in w.vars_rem:

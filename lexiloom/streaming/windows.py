@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexiloom.operators.apply import apply_grammar
 from lexiloom.plans.grammar import parse
-from lexiloom.plans.kernel import Applicator, Options
+from lexiloom.plans.kernel import Applicator, Options, Window
 from lexiloom.plans.rows import window_of, window_row
 from lexiloom.schema import FIELDS, window_schema
 
@@ -28,19 +28,36 @@ def apply_stateless(stream: DataFrame, grammar: str) -> DataFrame:
     return apply_grammar(stream, grammar, per_document=False)
 
 
+def continue_ids(windows: list[Window], start: int) -> None:
+    """Shifts a micro-batch's ids, and what refers to them, to go on from ``start`` where they begin anew."""
+    cohorts = [c for w in windows for c in w.all[1:]]
+    given = [c.gid for c in cohorts if c.gid]
+    by = start - min(given, default=start)
+    if by <= 0:
+        return
+    for c in cohorts:
+        c.gid += by if c.gid else 0
+        c.dep_parent = c.dep_parent + by if c.dep_parent else c.dep_parent
+        c.relations = {name: {g + by for g in found} for name, found in c.relations.items()}
+
+
 def apply_with_variables(stream: DataFrame, grammar: str, options: Options | None = None) -> DataFrame:
-    """A grammar with variables: their values are kept per document between micro-batches."""
+    """A grammar with variables: per document their values, and the ids given so far, are kept between micro-batches."""
+    g = parse(grammar)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = Applicator(parse(grammar), options)
-        done.variables = json.loads(state.get[0]) if state.exists else {}
+        done = Applicator(g, options)
+        if state.exists:
+            done.variables, done.next_gid = json.loads(state.get[0]), state.get[1]
         rows = pd.concat(list(frames)).sort_values("win", kind="stable").to_dict("records")
-        windows = done.run([window_of(r) for r in rows])
-        state.update((json.dumps(done.variables),))
+        arrived = [window_of(r) for r in rows]
+        continue_ids(arrived, done.next_gid)
+        windows = done.run(arrived)
+        state.update((json.dumps(done.variables), done.next_gid))
         numbers = [r["win"] for r in rows] + [rows[-1]["win"]] * (len(windows) - len(rows))
         yield pd.DataFrame([window_row(key[0], n, w) for n, w in zip(numbers, windows)], columns=FIELDS)
 
-    return stream.groupBy("doc_id").applyInPandasWithState(run, window_schema(), "variables string", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("doc_id").applyInPandasWithState(run, window_schema(), "variables string, next_gid long", "append", GroupStateTimeout.NoTimeout)
 
 
 def carry_variables(events: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -3,6 +3,7 @@
 from xml.etree import ElementTree as ET
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.operators import profile
 from lexiloom.plans.grammar import GrammarError, parse
@@ -126,3 +127,21 @@ def test_profile_of_tests(spark):
     assert twice[1, 1] == 2 * rows[1, 1][0]
     html = profile.report(once, g)
     assert "test 1: 2 of 6" in html and "class='unused'" in html and html.count("<tr") == 3
+
+
+def test_ids_go_on_over_batches(spark, tmp_path):
+    from lexiloom.streaming import windows as streaming
+
+    for n in (1, 2):
+        rows = read_texts(spark.createDataFrame([(7, DUCK)], "doc_id long, text string"), "cg").withColumn("win", F.lit(n))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    g = "SETPARENT (N) TO (-1 (DET)); ADDRELATION (k) (N) TO (-1 (DET));"
+    q = streaming.apply_with_variables(source, g).writeStream.format("memory").queryName("ids_out").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    found = sorted((r.win, [c.gid for c in r.cohorts], [c.dep_parent for c in r.cohorts if c.dep_parent], [c.relations for c in r.cohorts if c.relations]) for r in spark.table("ids_out").collect())
+    firsts = [gids[0] for _, gids, _, _ in found]
+    assert len({g for _, gids, _, _ in found for g in gids}) == 8
+    assert [parents for _, _, parents, _ in found] == [[firsts[0]], [firsts[1]]]
+    assert [relations[0] for _, _, _, relations in found] == [{"k": [firsts[0]]}, {"k": [firsts[1]]}]
