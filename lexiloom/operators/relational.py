@@ -629,15 +629,37 @@ def codec_detect(spark, sf_dir):
     return out
 
 
-@query(_PAST + """, y AS (SELECT *, count(*) FILTER (role = 'assistant') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seg FROM x)
-SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY seg))::INT AS win,
- string_agg('t' || turn || ':' || role || CASE WHEN role = 'user' AND seg > 0 THEN ' @S' ELSE '' END, ' ' ORDER BY pos) AS tokens FROM y GROUP BY doc_id, seg""")
-def stream_commands(spark, sf_dir):
-    """A stream with a delimiter after each answer, which also sets a variable for what follows."""
-    shown = F.concat(F.lit('"<t'), F.col("turn"), F.lit('>"\n\t"t'), F.col("turn"), F.lit('" '), F.col("role"), F.lit("\n"))
-    command = F.when(F.col("role") == "assistant", F.lit("<STREAMCMD:SETVAR:seen=1>\n")).otherwise("")
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.struct("turn", "role", F.length("text"), F.concat(shown, command)).alias("t"))
-    texts = turns.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["col4"]), "").alias("text"))
-    grammar = "DELIMITERS = assistant ; MAP (@S) (user) IF (0 (VAR:seen)) ;"
-    done = apply_grammar(read_texts(texts, "cg", grammar), grammar)
-    return shown_tokens(done, "win")
+# --- streams: a conversation is a text of tokens and commands, read with the grammar that runs on it ------
+
+
+def stream(name: str, grammar: str, sql: str, after: str = "''", tags: str = "role") -> None:
+    """A query that reads conversations as texts; ``tags``: the lines' tags, ``after``: what follows a token, both in SQL.
+
+    ``sql`` gives doc_id, pos, turn, seg (tokens of one window share it) and tags of the tokens from ``x``.
+    """
+    def run(spark, sf_dir):
+        turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", F.length("text").alias("n"))
+        line = F.concat(F.format_string('"<t%d>"\n\t"t%d" ', "turn", "turn"), F.expr(tags), F.lit("\n"), F.expr(after))
+        in_order = turns.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "n", line.alias("line")))).alias("t"))
+        texts = in_order.select("doc_id", F.array_join(F.col("t.line"), "").alias("text"))
+        return shown_tokens(apply_grammar(read_texts(texts, "cg", grammar), grammar), "win")
+
+    QUERIES[name] = run
+    SQL[name] = f"{_PAST}, y AS ({sql}) SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY seg))::INT AS win, string_agg('t' || turn || ':' || tags, ' ' ORDER BY pos) AS tokens FROM y GROUP BY doc_id, seg"
+
+
+_SEG = "(SELECT *, count(*) FILTER (role = 'assistant') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seg FROM x)"
+_DELIMITED = "DELIMITERS = assistant ; "
+stream("stream_commands", _DELIMITED + "MAP (@S) (user) IF (0 (VAR:seen)) ;", f"SELECT *, role || CASE WHEN role = 'user' AND seg > 0 THEN ' @S' ELSE '' END AS tags FROM {_SEG}",
+       after="CASE WHEN role = 'assistant' THEN '<STREAMCMD:SETVAR:seen=1>\n' ELSE '' END")
+stream("stream_local_variables", _DELIMITED + "MAP (@S) (user) IF (0 (LVAR:long)) ;",
+       f"SELECT a.*, a.role || CASE WHEN a.role = 'user' AND b.size = 'LONG' THEN ' @S' ELSE '' END AS tags FROM {_SEG} a LEFT JOIN {_SEG} b ON b.doc_id = a.doc_id AND b.seg = a.seg - 1 AND b.role = 'assistant'",
+       after="CASE WHEN role = 'assistant' AND n > 200 THEN '<STREAMCMD:SETVAR:long>\n' ELSE '' END")
+stream("stream_flush", _DELIMITED + "MAP (@S) (user) IF (0 (VAR:seen)) ;",
+       f"SELECT a.*, a.role || CASE WHEN a.role = 'user' AND b.size = 'SHORT' THEN ' @S' ELSE '' END AS tags FROM {_SEG} a LEFT JOIN {_SEG} b ON b.doc_id = a.doc_id AND b.seg = a.seg - 1 AND b.role = 'assistant'",
+       after="CASE WHEN role = 'assistant' AND n > 200 THEN '<STREAMCMD:FLUSH>\n' WHEN role = 'assistant' THEN '<STREAMCMD:SETVAR:seen>\n' ELSE '' END")
+stream("stream_meta", "MAP (@M) (META:/note_(user|system)/r) ;", "SELECT *, 0 AS seg, role || CASE WHEN role IN ('user', 'system') THEN ' @M' ELSE '' END AS tags FROM x", after="'note_' || role || '\n'")
+stream("stream_subreadings", "MAP (@S) (*) IF (0/1 (LONG)) ;", "SELECT *, 0 AS seg, role || CASE WHEN size = 'LONG' THEN ' @S' ELSE '' END AS tags FROM x", tags="""role || '\n\t\t"sub" ' || CASE WHEN n > 200 THEN 'LONG' ELSE 'SHORT' END""")
+stream("stream_numbers", "MAP (@F) (user) IF (1 (assistant <W>200>)) ; MAP (@G) (user) IF (1f (assistant <W>200>)) ;",
+       "SELECT *, 0 AS seg, role || ' <W:' || n_chars || '>' || CASE WHEN role = 'user' AND s = 'LONG' AND q = 'assistant' THEN ' @F' WHEN role = 'user' AND q = 'assistant' THEN ' @G' ELSE '' END AS tags FROM "
+       "(SELECT x.*, lead(size) OVER (PARTITION BY x.doc_id ORDER BY pos) AS s, length(c.text) AS n_chars FROM x JOIN conversations c ON c.conv_id = x.doc_id AND c.turn = x.turn)", tags="role || ' <W:' || n || '>'")

@@ -58,7 +58,8 @@ def test_multiwords():
 
 def test_matxin():
     ws = cg_text.parse('"<a>"\n\t"a" X #1->2\n"<b>"\n\t"b" Y #2->0\n')
-    assert '<NODE ord="2" form="b" lem="b" mi="Y">\n    <NODE ord="1"' in codecs.write_matxin(ws)
+    # every node has alloc and si, and nodes are indented by their depth below the sentence
+    assert '    <NODE ord="2" alloc="0" form="b" lem="b" mi="Y" si="">\n      <NODE ord="1" alloc="0" form="a"' in codecs.write_matxin(ws)
 
 
 def test_streams(spark):
