@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from lexiloom.plans.batches import rows_of
 from lexiloom.plans.grammar import Grammar, parse
 from lexiloom.plans.kernel import Applicator, Options
 from lexiloom.plans.rows import window_of
@@ -24,30 +27,27 @@ def profile(windows: DataFrame, grammar: str | Grammar, options: Options | None
     the grammar times the partitions.  A test under NEGATE counts as matched where what it negates holds.
     """
     g = parse(grammar) if isinstance(grammar, str) else grammar
+    arrow = to_arrow_schema(T._parse_datatype_string(SCHEMA))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], list] = {}
         for r in g.rules():
             for k in range(len(r.tests) + 1):
                 total[r.number, k] = [r.number, r.kind, r.line, k or None, 0, 0, None, None]
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                done = Applicator(g, options)
-                done.run([window_of(row)])
-                seen = {(number, 0): x for number, x in done.counts.items()} | {(number, k + 1): x for (number, k), x in done.test_counts.items()}
-                for key, (hit, miss) in seen.items():
-                    if key in total:
-                        total[key][4] += hit
-                        total[key][5] += miss
-                        here = (row["doc_id"], row["win"])
-                        if hit and (total[key][6] is None or here < (total[key][6], total[key][7])):
-                            total[key][6:] = here
-        out = pd.DataFrame(total.values(), columns=COLUMNS)
-        for name in ("context", "example_doc", "example_win"):
-            out[name] = out[name].astype("Int64")
-        yield out
-
-    return merge(windows.mapInPandas(run, SCHEMA))
+        for row in rows_of(batches):
+            done = Applicator(g, options)
+            done.run([window_of(row)])
+            seen = {(number, 0): x for number, x in done.counts.items()} | {(number, k + 1): x for (number, k), x in done.test_counts.items()}
+            for key, (hit, miss) in seen.items():
+                if key in total:
+                    total[key][4] += hit
+                    total[key][5] += miss
+                    here = (row["doc_id"], row["win"])
+                    if hit and row["doc_id"] is not None and (total[key][6] is None or here < (total[key][6], total[key][7])):
+                        total[key][6:] = here
+        yield pa.RecordBatch.from_pylist([dict(zip(COLUMNS, x)) for x in total.values()], schema=arrow)
+
+    return merge(windows.mapInArrow(run, SCHEMA))
 
 
 def merge(*profiles: DataFrame) -> DataFrame:
