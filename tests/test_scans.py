@@ -51,3 +51,16 @@ def test_readings_of_every_ending(spark):
 
     found = spark.createDataFrame([(w,) for w in words], "w string").select("w", documents.readings(F.col("w")).alias("r")).collect()
     assert {r.w: [list(x) for x in r.r] for r in found} == {w: plain(w) for w in words}
+
+
+def test_what_only_takes_readings_begins_where_tests_hold():
+    """Rules whose failing tests can come true while they run are folded over all places that they can change."""
+    from lexiloom.plans.grammar import parse
+
+    def only(text: str) -> bool:
+        g = parse(text)
+        return columns.only_takes(g.rules()[0], g)
+
+    assert all(map(only, ["SELECT (N) IF (-1 (DET));", "REMOVE (N) IF (-1** (DET) LINK 1 (V));", "SELECT (N) IF (1* (V));", "REMOVE (N) - (PL) IF ((1 (V)) OR (-1 (DET)));"]))
+    later = ["NOT -1 (DET)", "-1C (DET)", "1* (V) BARRIER (DET)", "1* (V) LINK 1 (N)", "NEGATE 1 (V)", "1 (V) LINK NOT 1 (N)", "B (V) - (PST)", "-1* (V) CBARRIER (N)"]
+    assert not any(only(f"SELECT (N) IF ({x});") for x in later) and not only("IFF (N) IF (-1 (DET));") and not only("ADD (x) (N) IF (-1 (x));")
