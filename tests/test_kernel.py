@@ -264,3 +264,27 @@ def test_formats_are_told_by_their_head(text, name):
     from lexiloom.sources.codecs import detect
 
     assert detect(text) == name
+
+
+class Counted(list):
+    """Cohorts that count how often they are searched for one."""
+
+    searched = 0
+
+    def index(self, *a):
+        Counted.searched += 1
+        return super().index(*a)
+
+    def __contains__(self, x):
+        Counted.searched += 1
+        return super().__contains__(x)
+
+
+@pytest.mark.parametrize("grammar", ["MAP (@X) (N) IF (1 (N));", "ADDRELATION (k) (N) TO (1 (N)); SETRELATION (k) (N) TO (-1 (N));", "SETVARIABLE (v) (1) (N); MAP (@X) (N) IF (0 (VAR:v));"])
+def test_long_window_is_not_searched(grammar):
+    """A cohort's place is remembered, or work grows with the square of the window."""
+    g = parse(grammar)
+    w = cg_text.parse('"<a>"\n\t"a" N\n' * 200, g)[0]
+    w.cohorts, Counted.searched = Counted(w.cohorts), 0
+    Applicator(g).run([w])
+    assert Counted.searched == 0
