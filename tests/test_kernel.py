@@ -303,3 +303,16 @@ def test_relations_with_numbers_twice():
     w.cohorts[2].readings[0].tags[-1] = "X"  # the first with number 6 is no V
     done = Applicator(g).run([w])[0]
     assert [c.relations for c in done.cohorts[1:]] == [{}, {}, {"k": {6}}, {}] and done.cohorts[3].readings[0].mapping == ""
+
+
+def test_delimit_prepares_once(monkeypatch):
+    """What follows a border isn't prepared again at every border, unless a rule has acted."""
+    prepared = []
+    split = Applicator.split_mappings
+    monkeypatch.setattr(Applicator, "split_mappings", lambda self, r: prepared.append(1) or split(self, r))
+    g = parse("DELIMIT (N);")
+    done = Applicator(g).run(cg_text.parse('"<a>"\n\t"a" N\n' * 200, g))
+    assert len(done) == 200 and len(prepared) == 200
+    assert all([len(w.cohorts) == len(w.all) == 2 and w.cohorts[1].readings[0].tags[-1] == "<<<" and w.cohorts[1].window is w for w in done])
+    g = parse("MAP (@X) (N); DELIMIT (N);")
+    assert "".join(x for w in Applicator(g).run(cg_text.parse('"<a>"\n\t"a" N\n' * 3, g)) for c in w.cohorts[1:] for x in [c.readings[0].mapping]) == "@X@X@X"
