@@ -47,7 +47,7 @@ def test_texts_are_streams(spark, sf_dir, name):
     assert "Pandas" not in relational.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["kernel_external", "kernel_select", "codec_cg", "stream_commands"])
+@pytest.mark.parametrize("name", ["kernel_external", "kernel_variables", "kernel_setrelation", "kernel_relation_test", "kernel_delimit", "kernel_select", "codec_cg", "stream_commands"])
 def test_python_has_all_cores(spark, sf_dir, name):
     """Few bytes are many windows: the runtime must not join the partitions before Python."""
     done = relational.QUERIES[name](spark, sf_dir).rdd
